@@ -8,8 +8,10 @@ reads differently stay as they are.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,28 @@ def fold_sql(column: str) -> str:
     return f"nfc_normalize({text})"
 
 
+@lru_cache(maxsize=1)
+def _python_tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
+    one, more = _compatible()
+    one |= more | dict(zip(LOOK_FROM, LOOK_INTO)) | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-")
+    plain = lambda p: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\u" + m[1], p)
+    return (
+        {ord(a): b for a, b in one.items()},
+        re.compile(plain(INVISIBLE)),
+        re.compile(f"(^|[^{plain(VIRAMAS)}])\u200c+"),
+        re.compile("(^|[\\w\\s])\u200d+"),
+    )
+
+
+def fold_python(text: str) -> str:
+    """The same form for operators that hold a text in Python already."""
+    if text.isascii():
+        return text.replace("\r\n", "\n")
+    chars, invisible, disjoiner, joiner = _python_tables()
+    text = joiner.sub(r"\1", disjoiner.sub(r"\1", invisible.sub("", text))).replace("\r\n", "\n")
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(chars))
+
+
 def _run(batches: Iterator, query: str) -> Iterator:
     import duckdb
     import pyarrow as pa

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ("capping", "percentiles", "lookalike")
+NAMES = ("capping", "percentiles", "encoding", "leakage", "lookalike")
 
 
 def modules() -> list[ModuleType]:
