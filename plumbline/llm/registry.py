@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ("capping", "percentiles", "history", "truncation", "encoding", "leakage", "lookalike")
+NAMES = ("capping", "percentiles", "names", "history", "canonical", "truncation", "encoding", "leakage", "lookalike")
 
 
 def modules() -> list[ModuleType]:
