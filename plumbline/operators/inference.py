@@ -61,12 +61,15 @@ def _total(sums: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int, in
 
 
 def clustered_ols(df: DataFrame, cluster: str, inputs: Sequence[str], truth: str) -> pd.DataFrame:
-    """``term, beta, se, t, p``: least squares with cluster-robust errors.
+    """``term, beta, se, t, p``: least squares with cluster-robust errors; the intercept is the fit at the inputs' means.
 
-    Two aggregates: the sums, then the clusters' scores at the solution; nothing but
-    ``width x width`` matrices reaches the driver.
+    Three aggregates: the means, by which inputs are centred, the sums, and the
+    clusters' scores at the solution; nothing but ``width x width`` matrices reaches
+    the driver.
     """
     width = len(inputs) + 1
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in inputs]).first()  # one row
+    df = df.select(cluster, truth, *[(F.col(c).cast("double") - F.lit(means[c] or 0.0)).alias(c) for c in inputs])
     sums = cluster_sums(df, cluster, inputs, truth)
     xx, xy, n, g = _total(sums, width)
     inv = np.linalg.pinv(xx)
@@ -129,12 +132,11 @@ def ridge_bootstrap(df: DataFrame, cluster: str, inputs: Sequence[str], truth: s
     return pd.DataFrame({"term": ["intercept", *inputs], "beta": betas[0], "lo": lo, "hi": hi})
 
 
-def double_ml(df: DataFrame, fold: str, k: int, treatment: str, controls: Sequence[str], truth: str, make) -> DataFrame:
-    """``beta, se, n``: the effect of ``treatment`` after predicting it and the outcome from the controls, each out of fold."""
+def double_ml(df: DataFrame, ident: str, fold: str, k: int, treatment: str, truth: str, make) -> DataFrame:
+    """``beta, se, n``: the effect of ``treatment`` after predicting it and the outcome from ``features``, each out of fold; ``ident`` is unique."""
     from plumbline.operators.learn import out_of_fold
 
-    ident = "_row"
-    x = df.withColumn(ident, F.xxhash64(*df.columns))
+    x = df
     y = out_of_fold(x.withColumn("label", F.col(truth).cast("double")), fold, k, make, [ident, "label"])
     d = out_of_fold(x.withColumn("label", F.col(treatment).cast("double")), fold, k, make, [ident, "label"])
     r = y.select(ident, (F.col("label") - F.col("prediction")).alias("ry")).join(d.select(ident, (F.col("label") - F.col("prediction")).alias("rd")), ident)
