@@ -106,8 +106,8 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
         load[i] += r["n"]
         rows.append((r[group], i))
     kind = dict(df.dtypes)[group]
-    placed = df.sparkSession.createDataFrame(rows, f"g {kind}, fold int")
-    return sizes.join(placed, F.col(group).eqNullSafe(F.col("g")), "left").select(
+    placed = df.sparkSession.createDataFrame(rows, f"_placed {kind}, fold int")
+    return sizes.join(placed, F.col(group).eqNullSafe(F.col("_placed")), "left").select(
         group, F.coalesce("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int")).alias("fold")
     )
 

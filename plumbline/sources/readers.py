@@ -54,13 +54,15 @@ def json_arrays(spark: SparkSession, root: str, pattern: str = "*.json") -> Data
 
 
 def envelopes(spark: SparkSession, root: str, pattern: str = "records_*.jsonl") -> tuple[DataFrame, DataFrame]:
-    """The good envelopes, with ``file``, and the lines that don't parse as ``file, line``; blank lines are neither."""
-    r = spark.read.schema(envelope_schema()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option(
-        "recursiveFileLookup", "true"
-    ).option("pathGlobFilter", pattern).json(root)
-    r = r.select("*", F.col("_metadata.file_name").alias("file"))
-    bad = F.col(CORRUPT).isNotNull()
-    return r.filter(~bad).drop(CORRUPT), r.filter(bad & (F.trim(CORRUPT) != "")).select("file", F.col(CORRUPT).alias("line"))
+    """The good envelopes, with ``file``, and the lines that hold none as ``file, line``; blank lines are neither.
+
+    A field of the wrong kind is null in an otherwise good envelope.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    r = lines.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    r = r.withColumn("e", F.from_json("line", envelope_schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    some = F.col("e.collection").isNotNull() | F.col("e.raw").isNotNull()
+    return r.filter(some).select("e.collection", "e.raw", "file"), r.filter(~some).select("file", "line")
 
 
 def with_query_log(rows: DataFrame, log: DataFrame) -> DataFrame:
