@@ -96,10 +96,9 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     entries = cut_lineage(refs.select("ref_id", F.col("ref").alias("value")).join(
         refs.select(F.col("ref").alias("value")).distinct().mapInArrow(_tokens, "value string, toks array<string>"), "value"
     ).select("ref_id", F.array_distinct("toks").alias("toks")))
-    total = entries.select(F.count(F.lit(1)).alias("all"))
+    total = entries.count()  # one number
     words = entries.select("ref_id", F.size("toks").alias("need"), F.explode("toks").alias("t"))
-    weight = words.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(total)  # the other side is one row
-    weight = weight.select("t", F.log(1 + F.col("all") / F.col("df")).alias("idf"))
+    weight = words.groupBy("t").agg(F.log(1 + F.lit(total) / F.count(F.lit(1))).alias("idf"))
     words = words.join(weight, "t")
     whole = entries.filter("size(toks) > 1").select("ref_id", F.concat_ws("", "toks").alias("t"))
     vocabulary = words.select("t").union(whole.select("t")).distinct()

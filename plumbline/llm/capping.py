@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
+from plumbline.session import scratch_name
 from plumbline.sources.tables import instant, table
 
 #: Heaps up to this size stay in memory; larger caps merge sorted runs, which spill.
@@ -71,10 +72,12 @@ def cap_contributors(
     for k in keys:
         known = known & k.isNotNull()
     kept = kept_ids(df.filter(known), keys, score, ident, cap, **how)
-    match = ident.eqNullSafe(F.col("id"))
+    own = scratch_name()  # no clash with the table's own columns
+    kept = kept.toDF(*[f"{own}_{i}" for i in range(len(keys) + 1)]).distinct()
+    match = ident.eqNullSafe(F.col(f"{own}_{len(keys)}"))
     for i, k in enumerate(keys):
-        match = match & (k == F.col(f"k{i}"))
-    capped = df.filter(known).join(kept.distinct(), match, "left_anti" if dropped else "left_semi")
+        match = match & (k == F.col(f"{own}_{i}"))
+    capped = df.filter(known).join(kept, match, "left_anti" if dropped else "left_semi")
     return capped if dropped else capped.unionByName(df.filter(~known))
 
 

@@ -237,11 +237,12 @@ def link_names(names: DataFrame) -> DataFrame:
     acronyms = parts.filter("kind = 'initials'").select("name", F.col("alias").alias("initials"))
     by_initials = _clear(acronyms.join(known, "initials").select("name", F.col("root").alias("t"), "tn"), "name")
 
-    loose = parts.filter("not (kind = 'full' and core <> '')").select("name").join(
+    loose = parts.filter("kind <> 'full' or core is null or core = ''").select("name").join(
         by_word.union(by_initials).withColumnRenamed("t", "root"), "name", "left"
     )
     # a short form of nobody is its own organisation, under its letters
-    own = F.concat(F.lit("~"), F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]", ""))
+    letters = F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]", "")
+    own = F.concat(F.lit("~"), F.when(letters != "", letters).otherwise(F.col("name")))
     rest = loose.select("name", F.coalesce("root", own).alias("entity"))
     return named.select("name", F.col("root").alias("entity")).union(rest)
 

@@ -24,8 +24,9 @@ from plumbline.sources.tables import table
 
 #: A length is a limit where this many times more texts end than at the lengths before it, and so many at least.
 PILE, PILE_LEAST, BEFORE = 6.0, 4, 10
-#: Share of an ellipsis' uses above which its last words are a house phrase.
-HOUSE = 0.04
+#: Share of an ellipsis' uses above which its last words are a house phrase, if several sources
+#: have it or its texts differ in length by more than cut ones would.
+HOUSE, SPREAD = 0.04, 0.15
 #: Share of terminated sentences below which an opening needs no terminator; weight of all sources against one.
 LOOSE, PRIOR = 0.5, 5.0
 #: Share of an opening's endings below which an ending is not one of its usual ones.
@@ -154,11 +155,13 @@ def cut_texts(df: DataFrame, row: Column, source: Column, text: Column) -> DataF
         "source", "head", ((F.col("t") + PRIOR * F.col("rate")) / (F.col("n") + PRIOR) < LOOSE).alias("loose")
     )
     phrases = feats.filter("phrase is not null").groupBy("phrase").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources")
+        F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), (F.stddev_pop("chars") / F.avg("chars")).alias("spread")
     )
-    every = phrases.agg(F.sum("n").alias("total"))
-    house = phrases.crossJoin(every).filter(  # the other side is one row
-        (F.col("n") >= F.lit(HOUSE) * F.col("total")) & (F.col("n") >= 3) & (F.col("sources") >= 2)
+    phrases = cut_lineage(phrases)
+    total = phrases.agg(F.sum("n")).first()[0] or 0  # one number
+    house = phrases.filter(
+        (F.col("n") >= F.lit(HOUSE * total)) & (F.col("n") >= 3)
+        & ((F.col("sources") >= 2) | (F.col("n") >= 5) & (F.col("spread") > SPREAD))
     ).select("phrase", F.lit(True).alias("house"))
     plain = feats.filter("mark is null and not ended").groupBy("head", "shape").agg(F.count(F.lit(1)).alias("n"))
     usual = plain.withColumn("all", F.sum("n").over(Window.partitionBy("head"))).filter(
