@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.plans import aggregates, delivery, models, relational, texts, timeseries
+from plumbline.plans import aggregates, delivery, extras, models, relational, texts, timeseries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = (aggregates, delivery, models, relational, texts, timeseries)
+MODULES = (aggregates, delivery, extras, models, relational, texts, timeseries)
 PAIRS = [(n, m) for m in MODULES for n in m.QUERIES if n in m.SQL]
 ROWS_ONLY = [(n, m) for m in MODULES for n in m.QUERIES if n not in m.SQL]
 
