@@ -27,8 +27,6 @@ EDITS = 2
 JOINED = 11
 #: An ambiguous short form means the candidate that is so many times better attested than the next.
 LEAD = 2.0
-#: Rounds that follow links to their end: 2 ** ROUNDS steps.
-ROUNDS = 5
 
 # Words for a field of business.
 FIELDS = (
@@ -215,8 +213,7 @@ def link_names(names: DataFrame) -> DataFrame:
     one = Window.partitionBy("core").orderBy("way", "t")
     links = links.withColumn("r", F.row_number().over(one)).filter("r = 1").select("core", "t")
     roots = _follow(cores.select("core").join(links, "core", "left").select("core", F.coalesce("t", "core").alias("root")))
-    roots = cut_lineage(roots)
-    named = whole.join(roots, "core").select("name", "n", "words", "initials", "alias", "root")
+    named = cut_lineage(whole.join(roots, "core").select("name", "n", "words", "initials", "alias", "root"))
 
     # one word, or the initials of all: they mean the best attested organisation that has them
     size = named.groupBy("root").agg(F.sum("n").alias("tn"))
@@ -256,11 +253,18 @@ def _clear(candidates: DataFrame, key: str) -> DataFrame:
 
 
 def _follow(links: DataFrame) -> DataFrame:
-    """``core, root`` with every link followed to its end by doubling; links only lead to better attested cores."""
-    for _ in range(ROUNDS):
+    """``core, root`` with every link followed to its end by doubling; links only lead to better attested cores.
+
+    Each round is materialised, so the plan doesn't double with the steps, and the
+    rounds end when nothing moves.
+    """
+    links = cut_lineage(links)
+    while True:
         far = links.select(F.col("core").alias("root"), F.col("root").alias("far"))
-        links = links.join(far, "root").select("core", F.col("far").alias("root"))
-    return links
+        step = cut_lineage(links.join(far, "root").select("core", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        links = step.drop("moved")
+        if not step.filter("moved").head(1):
+            return links
 
 
 RECORDS = "records_project_manager__scrum_master"

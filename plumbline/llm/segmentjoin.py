@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import shuffle_width
+
 
 def _segments(k: int) -> str:
     """SQL: an array of ``(i, len, seg)`` of column ``s``, cut into ``k + 1`` nearly equal segments."""
@@ -41,8 +43,12 @@ def segment_join(probe: DataFrame, index: DataFrame, k: int) -> DataFrame:
     right = index.select(F.col("t").alias("s")).filter(F.length("s") > k).distinct().select(
         F.col("s").alias("t"), F.expr(f"inline({_segments(k)})")
     )
-    left = probe.select("s").filter(F.length("s") > k).distinct()
+    # few strings make many substrings: they are spread before they are cut up
+    left = probe.select("s").filter(F.length("s") > k).distinct().repartition(
+        shuffle_width(probe.sparkSession), F.xxhash64("s")
+    )
     left = left.select("s", F.explode(F.array_distinct(F.expr(_lookups(k)))).alias("x")).select("s", "x.*")
-    met = left.join(right, ["i", "len", "seg"]).select("s", "t").distinct()
+    # substrings outgrow what the planner sees of the strings: never a broadcast
+    met = left.join(right.hint("merge"), ["i", "len", "seg"]).select("s", "t").distinct()
     near = met.withColumn("distance", F.levenshtein("s", "t", k)).filter("distance >= 0")
     return probe.join(near, "s")
