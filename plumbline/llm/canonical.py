@@ -23,8 +23,8 @@ from plumbline.sources.tables import table
 EDITS = 2
 #: Words of so many letters may hold two edits that aren't one swap.
 LONG = 9
-#: Similarity of an abbreviation, and of a fixed spelling.
-ABBREVIATED, FIXED = 0.8, 0.98
+#: Similarity of an abbreviation, of one that drops the word's last letter, and of a fixed spelling.
+ABBREVIATED, CLIPPED, FIXED = 0.8, 0.7, 0.98
 
 # Spellings that no rule finds.
 SPELLINGS = {
@@ -71,8 +71,10 @@ def _abbreviated(batches: Iterator) -> Iterator:
 
     for batch in batches:
         pairs = [(s, t) for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if abbreviates(s, t)]
-        columns = list(zip(*pairs)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["s", "t"])
+        rows = [(s, t, ABBREVIATED if t.startswith(s) or s[-1] == t[-1] else CLIPPED) for s, t in pairs]
+        columns = list(zip(*rows)) or [(), (), ()]
+        kinds = [pa.string(), pa.string(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["s", "t", "sim"])
 
 
 def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
@@ -80,7 +82,8 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
 
     ``reference`` has ``ref_id`` and ``ref``; null and blank entries are left out, and
     an empty list maps everything to 0. Ties go to the entry whose tokens stand closer
-    together, then to the smaller id. ``score`` is the covered weight, 0 without an entry.
+    together, then to the smaller id. ``score`` is the covered share of the entry's
+    weight, 0 without an entry; of equal shares the heavier entry wins.
     """
     given = values.select("value").filter(r"value is not null and value rlike '\\S'").distinct()
     titled = cut_lineage(given.mapInArrow(_tokens, "value string, toks array<string>"))
@@ -114,24 +117,25 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     first = lambda c: F.substring(c, 1, 1)
     short = distinct.filter("length(s) between 2 and 9").withColumn("k", first("s")).join(
         words.select("t").distinct().withColumn("k", first("t")), "k"
-    ).filter("length(s) < length(t)").select("s", "t").mapInArrow(_abbreviated, "s string, t string").withColumn("sim", F.lit(ABBREVIATED))
+    ).filter("length(s) < length(t)").select("s", "t").mapInArrow(_abbreviated, "s string, t string, sim double")
     fixed = values.sparkSession.createDataFrame([(s, t) for s, ts in SPELLINGS.items() for t in ts], "s string, t string")
     fixed = fixed.join(vocabulary, "t", "left_semi").withColumn("sim", F.lit(FIXED)).select("s", "t", "sim")
-    repaired = cut_lineage(
-        same.union(near).union(short).union(fixed).groupBy("s", "t").agg(F.max("sim").alias("sim"))
-    )
+    repaired = same.union(near).union(short).union(fixed).groupBy("s", "t").agg(F.max("sim").alias("sim"))
+    # a token means the words it is most like: "mgr" is a manager, no migration
+    most = F.max("sim").over(Window.partitionBy("s"))
+    repaired = cut_lineage(repaired.withColumn("most", most).filter("sim = most").drop("most"))
 
     hits = placed.join(repaired, "s")
     by_word = hits.join(words, "t").groupBy("sig", "ref_id", "need", "t", "idf").agg(F.max(F.struct("sim", -F.col("p"))).alias("m"))
     covered = by_word.groupBy("sig", "ref_id", "need").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("m.sim") * F.col("idf")).alias("score"),
+        F.count(F.lit(1)).alias("n"), (F.sum(F.col("m.sim") * F.col("idf")) / F.sum("idf")).alias("score"), F.sum("idf").alias("weight"),
         F.collect_set(F.col("m.col2")).alias("at"),
-    ).filter("n = need and size(at) = need").select("sig", "ref_id", "score", (F.array_max("at") - F.array_min("at")).alias("span"))
+    ).filter("n = need and size(at) = need").select("sig", "ref_id", "score", "weight", (F.array_max("at") - F.array_min("at")).alias("span"))
     full = words.groupBy("ref_id").agg(F.sum("idf").alias("idf"))
     joined = hits.join(whole, "t").join(full, "ref_id").select(
-        "sig", "ref_id", (F.col("sim") * F.col("idf")).alias("score"), F.lit(0).alias("span")
+        "sig", "ref_id", F.col("sim").alias("score"), F.col("idf").alias("weight"), F.lit(0).alias("span")
     )
-    rank = Window.partitionBy("sig").orderBy(F.col("score").desc(), "span", "ref_id")
+    rank = Window.partitionBy("sig").orderBy(F.round("score", 6).desc(), F.round("weight", 6).desc(), "span", "ref_id")
     best = covered.union(joined).withColumn("r", F.row_number().over(rank)).filter("r = 1").select("sig", "ref_id", "score")
     return titled.join(best, "sig", "left").select(
         "value", F.coalesce("ref_id", F.lit(0)).cast("int").alias("ref_id"), F.coalesce("score", F.lit(0.0)).alias("score")

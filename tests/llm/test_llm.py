@@ -137,8 +137,9 @@ def brute(rows):
     for r, i, s, g in sets:
         for r2, i2, s2, g2 in sets:
             if (r2 or "") < (r or ""):
-                c = len(s & s2) / min(len(s), len(s2)) if s and s2 else 0
-                if i == i2 or c >= history.SURE or c >= history.THRESHOLD and g == g2:
+                n = len(s & s2)
+                c = n / min(len(s), len(s2)) if s and s2 else 0
+                if i == i2 or c >= history.SURE or c >= history.THRESHOLD and n >= history.LEAST and g == g2:
                     out.add((r or "", i))
     return out
 
@@ -194,10 +195,10 @@ def test_history_unfitted_gives_the_same_and_refuses_disorder(spark):
 
 # canonical titles
 
-REF = [(1, "Project Manager"), (2, "Scrum Master"), (3, "Program Manager"), (4, "Software Engineer"), (5, "Data Analyst"), (6, None), (7, " ")]
+REF = [(1, "Project Manager"), (2, "Scrum Master"), (3, "Program Manager"), (4, "Software Engineer"), (5, "Data Analyst"), (8, "Migration Lead"), (6, None), (7, " ")]
 TITLES = {
     "Project Manager": 1, "Sr. Proj Mgr (3-5 Years)": 1, "Manager, Project": 1, "PROJECT MANGER - Remote": 1, "Projcet Manager": 1, "ProjectManager": 1, "projectmanager": 1, "Srcum Master [Req-12]": 2,
-    "Programme Mngr": 3, "S/W Engg": 4, "Data Analysts": 5, "Master Mason": 0, "Project Photographer": 0, "???": 0, "Données Analyst": 0, "Data Pro-ject Manager": 1, LONG[:2000]: 0,
+    "Programme Mngr": 3, "LEAD PROJECT MGR": 1, "Lead Prj Mgr": 1, "Migration Ld": 8, "S/W Engg": 4, "Data Analysts": 5, "Master Mason": 0, "Project Photographer": 0, "???": 0, "Données Analyst": 0, "Data Pro-ject Manager": 1, LONG[:2000]: 0,
 }
 
 
