@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,24 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each context: they may lack it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._plumbline_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
@@ -56,6 +73,7 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that losing executors costs no recomputation."""
     sc = df.sparkSession.sparkContext
+    ship(df.sparkSession)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
