@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.windows import prefix_sums
+
 #: Rows that a driver-side fit may take at most: a bounded, seeded sample of labelled rows.
 FIT_ROWS = 100_000
 
@@ -271,9 +273,8 @@ def nearest_neighbours(df: DataFrame, ident: str, array: str, label: str, k: int
 
 def best_threshold(df: DataFrame, positive: str, score: str) -> DataFrame:
     """``threshold, f1``: the score from which on calling a row positive gives the largest F1, over the distinct scores."""
-    s = df.groupBy(score).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    r = s.select(F.col(score).alias("threshold"), (2 * F.sum("p").over(w) / (F.sum("n").over(w) + F.sum("p").over(Window.partitionBy()))).alias("f1"))
+    s = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
+    r = prefix_sums(s, [], "threshold", ["p", "n"], descending=True).select("threshold", (2 * F.col("run_p") / (F.col("run_n") + F.col("all_p"))).alias("f1"))
     return r.agg(F.max(F.struct("f1", "threshold")).alias("b")).select("b.threshold", "b.f1")
 
 

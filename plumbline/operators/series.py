@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.windows import ends
+from plumbline.operators.windows import ends, prefix_sums
 
 
 def rescale(df: DataFrame, batch: str, t: str, name: str, value: str, anchor: str) -> DataFrame:
@@ -217,7 +217,7 @@ def signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0")
     g = d.groupBy(F.abs("d").alias("x")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    r = g.withColumn("rank", F.sum("c").over(Window.orderBy("x")) - (F.col("c") - 1) / 2)
+    r = prefix_sums(g, [], "x", ["c"]).withColumn("rank", F.col("run_c") - (F.col("c") - 1) / 2)
     s = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.windows import prefix_sums
+
 
 def concentration(df: DataFrame, by: Sequence[str], member: str) -> DataFrame:
     """``by.., members, top, top_share, effective``: how a group spreads over its members; null and blank members don't count."""
@@ -18,28 +20,43 @@ def concentration(df: DataFrame, by: Sequence[str], member: str) -> DataFrame:
     )
 
 
+def _counted(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``by.., value, n, run_n, all_n``: the distinct values of each group with cumulative counts."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return prefix_sums(counts, by, value, ["n"])
+
+
 def lower_quantiles(df: DataFrame, by: Sequence[str], value: str, targets: Mapping[str, float]) -> DataFrame:
-    """The value at index ``min(n - 1, int(q n))`` of each group's sorted values.
+    """The value at index ``min(n - 1, int(q n))`` of each group's sorted values, from cumulative counts."""
+    c = _counted(df, by, value)
+    at = lambda q: F.least(F.col("all_n") - 1, F.floor(F.lit(q) * F.col("all_n")))
+    return c.groupBy(*by).agg(
+        F.max("all_n").alias("n"), *[F.min(F.when(F.col("run_n") > at(q), F.col(value))).alias(k) for k, q in targets.items()]
+    )
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, targets: Mapping[str, float]) -> DataFrame:
+    """``by.., n`` and the interpolated quantiles, exact.
 
-    Ranks come from a window, not from a collected array, so a group may be of any size.
+    ``percentile`` keeps all distinct values of a group in one task's memory; this
+    reads them off cumulative counts, for groups of any size.
     """
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).select(*by, value).withColumn("n", F.count(F.lit(1)).over(w)).withColumn(
-        "i", F.row_number().over(w.orderBy(value)) - 1
-    )
-    pick = lambda q: F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
-    return ranked.groupBy(*by).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("i") == pick(q), F.col(value))).alias(k) for k, q in targets.items()]
-    )
+    c = _counted(df, by, value)
+    picks = []
+    for k, q in targets.items():
+        h = F.lit(q) * (F.col("all_n") - 1)
+        for end, i in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            picks.append(F.min(F.when(F.col("run_n") > i, F.col(value))).alias(f"_{end}_{k}"))
+    g = c.groupBy(*by).agg(F.max("all_n").alias("n"), *picks)
+    part = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    return g.select(*by, "n", *[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * part(q)).alias(k) for k, q in targets.items()])
 
 
 def higher_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, out: str) -> DataFrame:
     """The value at index ``ceil(q (n - 1))``: the conformal choice."""
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).select(*by, value).withColumn("n", F.count(F.lit(1)).over(w)).withColumn(
-        "i", F.row_number().over(w.orderBy(value)) - 1
-    )
-    return ranked.filter(F.col("i") == F.ceil(F.lit(q) * (F.col("n") - 1) - 1e-9)).select(*by, "n", F.col(value).alias(out))
+    c = _counted(df, by, value)
+    at = F.ceil(F.lit(q) * (F.col("all_n") - 1) - 1e-9)
+    return c.groupBy(*by).agg(F.max("all_n").alias("n"), F.min(F.when(F.col("run_n") > at, F.col(value))).alias(out))
 
 
 def adjusted_skewness(c: str) -> Column:
@@ -51,10 +68,8 @@ def adjusted_skewness(c: str) -> Column:
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
     """``by.., median, ess``: the smallest value whose cumulative weight reaches half, and the effective sample size."""
     flat = df.groupBy(*by, value).agg(F.sum(weight).alias("w"), F.sum(F.pow(F.col(weight), 2)).alias("w2"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = flat.withColumn("run", F.sum("w").over(w)).withColumn("all", F.sum("w").over(Window.partitionBy(*by)))
-    return run.groupBy(*by).agg(
-        F.min(F.when(F.col("run") >= F.col("all") / 2, F.col(value))).alias("median"),
+    return prefix_sums(flat, by, value, ["w"]).groupBy(*by).agg(
+        F.min(F.when(F.col("run_w") >= F.col("all_w") / 2, F.col(value))).alias("median"),
         (F.pow(F.sum("w"), 2) / F.sum("w2")).alias("ess"),
     )
 
@@ -133,21 +148,22 @@ def class_scores(cells: DataFrame) -> DataFrame:
     return j.select("label", p.alias("precision"), r.alias("recall"), zero(2 * p * r, p + r).alias("f1"), sup.alias("support"))
 
 
+def _scored(df: DataFrame, positive: str, score: str) -> DataFrame:
+    """``score, p, n``: positives and rows at each distinct score."""
+    return df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def rank_auc(df: DataFrame, positive: str, score: str) -> DataFrame:
-    """``auc`` from average ranks, over the distinct scores."""
-    s = df.groupBy(score).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    r = s.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    """``auc`` from average ranks, over the distinct scores; null where one class is missing."""
+    r = prefix_sums(_scored(df, positive, score), [], "score", ["n"]).withColumn("rank", F.col("run_n") - (F.col("n") - 1) / 2)
     t = r.agg(F.sum(F.col("rank") * F.col("p")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return t.select(((F.col("u") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
+    return t.select(F.try_divide(F.col("u") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
 
 def average_precision(df: DataFrame, positive: str, score: str) -> DataFrame:
     """``ap``: precision at each distinct score, weighted by the recall it adds."""
-    s = df.groupBy(score).agg(F.sum(F.col(positive).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    r = s.select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("said"), F.sum("p").over(Window.partitionBy()).alias("all"))
-    return r.agg(F.sum(F.col("p") / F.col("all") * F.col("tp") / F.col("said")).alias("ap"))
+    r = prefix_sums(_scored(df, positive, score), [], "score", ["p", "n"], descending=True)
+    return r.agg(F.sum(F.try_divide("p", "all_p") * F.col("run_p") / F.col("run_n")).alias("ap"))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -160,9 +176,8 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def benjamini_hochberg(df: DataFrame, p: str, q: float) -> DataFrame:
     """``df`` with ``selected``: the step-up choice at level ``q``; null p-values are never selected and don't count."""
     tested = df.filter(F.col(p).isNotNull())
-    ranked = tested.groupBy(p).agg(F.count(F.lit(1)).alias("c"))
-    run = ranked.select(p, F.sum("c").over(Window.orderBy(p)).alias("r"), F.sum("c").over(Window.partitionBy()).alias("m"))
-    cut = run.filter(F.col(p) <= F.lit(q) * F.col("r") / F.col("m")).agg(F.max(p).alias("cut")).first()[0]  # one number
+    run = prefix_sums(tested.groupBy(p).agg(F.count(F.lit(1)).alias("c")), [], p, ["c"])
+    cut = run.filter(F.col(p) <= F.lit(q) * F.col("run_c") / F.col("all_c")).agg(F.max(p).alias("cut")).first()[0]  # one number
     return df.withColumn("selected", F.coalesce(F.col(p) <= F.lit(cut), F.lit(False)) if cut is not None else F.lit(False))
 
 
@@ -176,10 +191,13 @@ def normalised_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """``df`` with the average rank of ``value`` in its group."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return df.withColumn(out, F.rank().over(w) + (ties - 1) / 2)
+    """``df`` with the average rank of ``value`` in its group; null values have none."""
+    c = _counted(df, by, value)
+    ranks = c.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col(value).alias("_v"), (F.col("run_n") - (F.col("n") - 1) / 2).alias(out))
+    on = F.col(value) == F.col("_v")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    return df.join(ranks, on, "left").drop("_v", *[f"_b{i}" for i in range(len(by))])
 
 
 def cooccurrence(pairs: DataFrame, doc: str, term: str, least: int) -> DataFrame:

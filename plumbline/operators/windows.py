@@ -9,6 +9,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage, shuffle_width
+
+
+def prefix_sums(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], descending: bool = False) -> DataFrame:
+    """``df`` with ``run_<c>``, the sum of ``c`` over the group's rows up to this one, and ``all_<c>``, over all its rows.
+
+    Rows are range-partitioned by group and ``order``; each partition's running sums get
+    the totals of the group's earlier partitions. No group, however large, meets one
+    task. Values of ``order`` are distinct within a group: aggregate before.
+    """
+    key = F.col(order).desc() if descending else F.col(order)
+    parts = cut_lineage(
+        df.repartitionByRange(shuffle_width(df.sparkSession), *by, key).withColumn("_part", F.spark_partition_id())
+    )
+    chunk = Window.partitionBy(*by, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # a row for each partition
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_part").alias("_q"),
+        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in columns],
+        *[F.sum(f"_s_{c}").over(group).alias(f"all_{c}") for c in columns],
+    )
+    on = F.col("_part") == F.col("_q")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    runs = parts.select("*", *[F.sum(c).over(chunk).alias(f"_r_{c}") for c in columns]).join(offsets, on)
+    return runs.select(*df.columns, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"run_{c}") for c in columns], *[f"all_{c}" for c in columns])
+
 
 def trailing_mean(by: Sequence[str], order: str, value: str, size: int) -> Column:
     """The mean of the last ``size`` rows, fewer at the start."""

@@ -66,7 +66,7 @@ def lower_quantiles(s, d):
 @q("interpolated_quantiles", """SELECT o_orderstatus, quantile_cont(o_totalprice, 0.1) AS p10, quantile_cont(o_totalprice, 0.5) AS p50,
     quantile_cont(o_totalprice, 0.9) AS p90 FROM orders GROUP BY 1""")
 def interpolated_quantiles(s, d):
-    return _orders(s, d).groupBy("o_orderstatus").agg(*[F.percentile("o_totalprice", p).alias(f"p{round(p * 100)}") for p in (0.1, 0.5, 0.9)])
+    return stats.quantiles(_orders(s, d), ["o_orderstatus"], "o_totalprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).drop("n")
 
 
 @q("having_groups", """SELECT o_custkey, count(*) AS n, quantile_cont(o_totalprice, 0.5) AS mid, avg(o_totalprice) AS mean
@@ -229,7 +229,7 @@ def band_edges(s, d):
     FROM orders, e GROUP BY 1""")
 def quantile_bands(s, d):
     o = _orders(s, d)
-    q3 = o.agg(F.percentile("o_totalprice", [0.25, 0.5, 0.75])).first()[0]  # three numbers
+    q3 = stats.quantiles(o, [], "o_totalprice", {"a": 0.25, "b": 0.5, "c": 0.75}).select("a", "b", "c").first()  # three numbers
     v = F.col("o_totalprice")
     return o.groupBy(F.when(v <= q3[0], 0).when(v <= q3[1], 1).when(v <= q3[2], 2).otherwise(3).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -238,7 +238,7 @@ def quantile_bands(s, d):
     SELECT o_orderpriority, count(*) FILTER (o_totalprice >= q) AS high FROM orders, e GROUP BY 1""")
 def quantile_label(s, d):
     o = _orders(s, d)
-    cut = o.agg(F.percentile("o_totalprice", 0.75)).first()[0]  # one number
+    cut = stats.quantiles(o, [], "o_totalprice", {"a": 0.75}).first()["a"]  # one number
     return o.groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") >= cut).alias("high"))
 
 

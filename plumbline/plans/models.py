@@ -165,7 +165,7 @@ def conformal_band(s, d):
 @q("conditional_coverage", """WITH b AS (SELECT quantile_cont(o_totalprice, [0.1, 0.9]) AS q FROM orders) SELECT o_orderpriority, avg((o_totalprice BETWEEN q[1] AND q[2])::INT) AS coverage FROM orders, b GROUP BY 1""")
 def conditional_coverage(s, d):
     o = table(s, d, "orders")
-    lo, hi = o.agg(F.percentile("o_totalprice", [0.1, 0.9])).first()[0]  # two numbers
+    lo, hi = stats.quantiles(o, [], "o_totalprice", {"lo": 0.1, "hi": 0.9}).select("lo", "hi").first()  # two numbers
     return o.groupBy("o_orderpriority").agg(F.avg(F.col("o_totalprice").between(lo, hi).cast("int")).alias("coverage"))
 
 
@@ -255,9 +255,9 @@ def plan_coverage(s, d):
     SELECT o_orderkey, CASE WHEN o_totalprice < q[1] THEN 'below' WHEN o_totalprice > q[2] THEN 'above' ELSE 'inside' END AS verdict FROM orders JOIN b ON g = o_orderpriority""")
 def offer_check(s, d):
     o = table(s, d, "orders")
-    b = o.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", [0.25, 0.75]).alias("q"))
+    b = stats.quantiles(o, ["o_orderpriority"], "o_totalprice", {"lo": 0.25, "hi": 0.75})
     v = F.col("o_totalprice")
-    return o.join(b, "o_orderpriority").select("o_orderkey", F.when(v < F.col("q")[0], "below").when(v > F.col("q")[1], "above").otherwise("inside").alias("verdict"))
+    return o.join(b, "o_orderpriority").select("o_orderkey", F.when(v < F.col("lo"), "below").when(v > F.col("hi"), "above").otherwise("inside").alias("verdict"))
 
 
 @q("permutation_importance")
