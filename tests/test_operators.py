@@ -230,3 +230,45 @@ def test_rates_of_tiny_tables(spark, n):
     df = spark.createDataFrame([("a", True, 1.0)][:n], "g string, y boolean, s double")
     assert stats.rank_auc(df, "y", "s").count() == 1
     assert stats.weighted_median(df, ["g"], "s", "s").count() == n
+
+
+def test_discovery_arrays_and_logs(spark, tmp_path):
+    (tmp_path / "run1").mkdir()
+    (tmp_path / "run1" / "posts_data_analyst_2026-01-05.json").write_text('[{"id": "1", "title": "A"}, {"id": "2", "company": {"display_name": "X"}}]')
+    d = readers.discover(spark, str(tmp_path), "*.json").collect()
+    assert [(r["name"], r["run_dir"]) for r in d] == [("posts_data_analyst_2026-01-05.json", "run1")]
+    a = readers.json_arrays(spark, str(tmp_path / "run1"))
+    assert sorted((r["id"], r["file_query"], str(r["file_date"])) for r in a.collect()) == [("1", "data_analyst", "2026-01-05"), ("2", "data_analyst", "2026-01-05")]
+    log = spark.createDataFrame([("posts_data_analyst_2026-01-05.json", "ok")], "records_file string, status string")
+    assert {r["log_status"] for r in readers.with_query_log(a, log).collect()} == {"ok"}
+    before = sorted(map(str, readers.file_digests(spark, str(tmp_path)).collect()))
+    assert before == sorted(map(str, readers.file_digests(spark, str(tmp_path)).collect()))
+
+
+def test_typed_extract_and_query_plan(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,created_date,v\n1,2026-01-02,1.5\n2,bad,NaN\n")
+    t = readers.typed_extract(spark, str(tmp_path / "t.csv"), str(tmp_path / "out"))
+    assert dict(t.dtypes)["created_date"] == "date" and t.filter("v is null and created_date is null").count() == 1
+    plans = spark.createDataFrame([("r", ["in", "gb"], [("a", None), ("b", 9)], 5)], "role string, countries array<string>, variants array<struct<query:string,max_records:int>>, max_records int")
+    assert sorted(tuple(r) for r in readers.expand_queries(plans).collect()) == [("r", "gb", "a", 5), ("r", "gb", "b", 9), ("r", "in", "a", 5), ("r", "in", "b", 9)]
+
+
+def test_one_to_one_refuses_repeated_keys(spark):
+    from plumbline.operators import quality
+
+    a = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, 2.0)], "k int, w double")
+    with pytest.raises(Exception, match="repeated"):
+        quality.one_to_one(a, b, "k").collect()
+    assert quality.one_to_one(b, a.limit(1), "k").count() == 1
+
+
+def test_prefix_sums_and_quantiles_of_a_hot_group(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 4 else f"g{i % 7}", float(v)) for i, v in enumerate(rng.integers(0, 60, 900))]
+    df = spark.createDataFrame(rows + [(None, 1.0), ("n", None)], "g string, v double")
+    for r in stats.quantiles(df, ["g"], "v", {"a": 0.1, "m": 0.5, "z": 0.97}).collect():
+        own = [v for g, v in [*rows, (None, 1.0)] if g == r["g"]]
+        assert np.allclose([r["a"], r["m"], r["z"]], np.quantile(own, [0.1, 0.5, 0.97])) and r["n"] == len(own)
+    ranked = stats.average_rank(df, [], "v", "r").collect()
+    assert len(ranked) == 902 and next(r for r in ranked if r["v"] is None)["r"] is None
