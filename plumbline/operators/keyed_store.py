@@ -10,14 +10,12 @@ its input, and equal identifiers collapse to one row.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.session import shuffle_width
+from plumbline.session import read_json, register_bucketed, remove, shuffle_width, write_json
 
 ORDERED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
@@ -40,7 +38,7 @@ class KeyedStore:
     def __init__(self, spark: SparkSession, path: str, n_buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self._tag = "pl_" + hashlib.md5(self.path.encode()).hexdigest()[:12]
-        self._state = self._read_manifest() or {
+        self._state = read_json(spark, f"{self.path}/manifest.json") or {
             "n_buckets": n_buckets or shuffle_width(spark),
             "schema": None,
             "runs": [],
@@ -72,7 +70,7 @@ class KeyedStore:
         self._state["runs"].append(run)
         self._state["batches"].append(batch_id)
         self._state["unkeyed"].append(run)
-        self._write_manifest()
+        self._save()
         return True
 
     def compact(self) -> None:
@@ -80,11 +78,11 @@ class KeyedStore:
         while len(runs := self._state["runs"]) > 1:
             merged = [self._write(self._merge(a, b)) for a, b in zip(runs[::2], runs[1::2])]
             self._state["runs"] = merged + ([runs[-1]] if len(runs) % 2 else [])
-            self._write_manifest()
+            self._save()
             for old in runs:
                 if old not in self._state["runs"]:
                     self.spark.sql(f"DROP TABLE IF EXISTS {self._name(old)}")
-                    self._delete(f"{self.path}/runs/{old}")
+                    remove(self.spark, f"{self.path}/runs/{old}")
 
     # reading
 
@@ -140,45 +138,13 @@ class KeyedStore:
         return f"{self._tag}_{run}"
 
     def _register(self, run: str) -> None:
-        if self.spark.catalog.tableExists(self._name(run)):
-            return
-        schema = T.StructType.fromJson(self._state["schema"])
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        self.spark.sql(
-            f"CREATE TABLE {self._name(run)} ({columns}) USING parquet CLUSTERED BY (k) SORTED BY (k)"
-            f" INTO {self._state['n_buckets']} BUCKETS LOCATION '{self.path}/runs/{run}'"
-        )
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _delete(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.delete(p, True)
-
-    def _read_manifest(self) -> dict | None:
-        fs, p = self._fs(f"{self.path}/manifest.json")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        register_bucketed(self.spark, self._name(run), self._state["schema"], "k", self._state["n_buckets"], f"{self.path}/runs/{run}")
 
-    def _write_manifest(self) -> None:
-        fs, tmp = self._fs(f"{self.path}/manifest.json.new")
-        stream = fs.create(tmp, True)
-        stream.write(json.dumps(self._state).encode())
-        stream.close()
-        _, final = self._fs(f"{self.path}/manifest.json")
-        fs.delete(final, False)
-        fs.rename(tmp, final)
+    def _save(self) -> None:
+        write_json(self.spark, f"{self.path}/manifest.json", self._state)
 
     def drop(self) -> None:
         """Remove the store and its tables."""
         for run in self._state["runs"]:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
-        self._delete(self.path)
+        remove(self.spark, self.path)

@@ -324,7 +324,8 @@ def multiplicity(s, d):
 def near_dedup(s, d):
     r = table(s, d, "records_graphic_designer__visual_designer").select(
         F.col("collection.adzuna_id").alias("id"), "raw.title", F.col("raw.company.display_name").alias("employer"), "raw.description", instant(F.col("raw.created")).alias("created")
-    ).dropDuplicates(["id"])
+    )
+    r = r.groupBy("id").agg(F.min(F.struct("created", "title", "employer", "description")).alias("x")).select("id", "x.*")
     k = dedup.near_keys(r, "title", "employer", "description")
     return dedup.near_dedup(k, [F.col("created").desc_nulls_last(), dedup.numeric_id("id"), F.col("id")]).select("id", "near_key", "group_size")
 

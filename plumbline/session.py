@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _local_folder: str | None = None
 
@@ -70,6 +72,51 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/plumbline-{purpose}-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON file of the shared folder, None where there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """The same replaced by a rename, after the new file is complete."""
+    fs, new = _file(spark, f"{path}.new")
+    stream = fs.create(new, True)
+    stream.write(json.dumps(value).encode())
+    stream.close()
+    _, final = _file(spark, path)
+    fs.delete(final, False)
+    fs.rename(new, final)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def register_bucketed(spark: SparkSession, name: str, schema: dict, key: str, buckets: int, path: str) -> None:
+    """Makes bucketed, sorted files of an earlier session a table again."""
+    if spark.catalog.tableExists(name):
+        return
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(schema).fields)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key})"
+        f" INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that losing executors costs no recomputation."""
     sc = df.sparkSession.sparkContext
