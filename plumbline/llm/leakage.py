@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.lookalike import fold_python
+from plumbline.llm.lookalike import fold_python, fold_sql
 from plumbline.sources.tables import table
 
 WORDS = 12
@@ -238,4 +238,14 @@ def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_spans": p9_spans}
-SQL: dict[str, str] = {}
+
+
+def _grams(table_name: str, ident: str) -> str:
+    words = f"regexp_extract_all(lower(strip_accents({fold_sql('text')})), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""SELECT DISTINCT {ident}, unnest(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) AS g
+        FROM (SELECT {ident}, {words} AS w FROM {table_name} WHERE text IS NOT NULL) WHERE len(w) >= {WORDS}"""
+
+
+SQL = {
+    "p9_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) JOIN ({_grams('eval_items', 'item_id')}) USING (g)""",
+}

@@ -174,10 +174,11 @@ def test_history_equals_brute_force_in_any_number_of_calls(spark, calls):
     df = spark.createDataFrame(rows, "run string, id string, t string, g string")
     p = history.prepare(df, F.col("run"), F.col("id"), F.col("t"), F.col("g")).cache()
     runs = sorted({r[0] or "" for r in rows})
-    index = history.HistoryIndex(spark, new_folder(spark, "h"), n_buckets=2)
-    index.fit(p)
+    path = new_folder(spark, "h")
+    history.HistoryIndex(spark, path, n_buckets=2).fit(p)
     got = set()
     for c in range(calls):
+        index = history.HistoryIndex(spark, path, n_buckets=2)  # opened again for each call
         some = runs[c * len(runs) // calls : (c + 1) * len(runs) // calls]
         got |= {(r["run"], r["id"]) for r in index.add(p.filter(F.col("run").isin(some)), some).collect()}
     assert got == brute(rows)
