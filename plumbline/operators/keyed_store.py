@@ -138,7 +138,7 @@ class KeyedStore:
         return f"{self._tag}_{run}"
 
     def _register(self, run: str) -> None:
-        register_bucketed(self.spark, self._name(run), self._state["schema"], "k", self._state["n_buckets"], f"{self.path}/runs/{run}")
+        register_bucketed(self.spark, self._name(run), self._state["schema"], ["k"], self._state["n_buckets"], f"{self.path}/runs/{run}")
 
     def _save(self) -> None:
         write_json(self.spark, f"{self.path}/manifest.json", self._state)

@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,13 +107,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def register_bucketed(spark: SparkSession, name: str, schema: dict, key: str, buckets: int, path: str) -> None:
-    """Makes bucketed, sorted files of an earlier session a table again."""
+def register_bucketed(spark: SparkSession, name: str, schema: dict, keys: Sequence[str], buckets: int, path: str) -> None:
+    """Makes files of an earlier session, bucketed by the first key and sorted by all, a table again."""
     if spark.catalog.tableExists(name):
         return
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(schema).fields)
     spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key})"
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys[0]}) SORTED BY ({', '.join(keys)})"
         f" INTO {buckets} BUCKETS LOCATION '{path}'"
     )
 
