@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.windows import prefix_sums
+from plumbline.session import cut_lineage
 
 
 def concentration(df: DataFrame, by: Sequence[str], member: str) -> DataFrame:
@@ -202,7 +203,7 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
 
 def cooccurrence(pairs: DataFrame, doc: str, term: str, least: int) -> DataFrame:
     """``a, b, together, lift, jaccard`` for terms that share at least ``least`` documents, ``a < b``."""
-    edge = pairs.select(F.col(doc).alias("d"), F.col(term).alias("t")).distinct()
+    edge = cut_lineage(pairs.select(F.col(doc).alias("d"), F.col(term).alias("t")).distinct())  # matched once, read four times
     n = edge.select("d").distinct().count()  # one number
     single = edge.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least)
     kept = edge.join(single, "t", "left_semi")
