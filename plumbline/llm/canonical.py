@@ -85,7 +85,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     together, then to the smaller id. ``score`` is the covered share of the entry's
     weight, 0 without an entry; of equal shares the heavier entry wins.
     """
-    given = values.select("value").filter(r"value is not null and value rlike '\\S'").distinct()
+    given = values.select("value").filter(r"value is not null and value rlike '(?U)\\S'").distinct()
     titled = cut_lineage(given.mapInArrow(_tokens, "value string, toks array<string>"))
     titled = titled.withColumn("sig", F.concat_ws(" ", F.expr("filter(toks, x -> not x rlike '^[0-9]+$')")))
     sigs = titled.filter("sig <> ''").select("sig").distinct().withColumn("w", F.split("sig", " "))
@@ -95,7 +95,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         " transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> named_struct('p', i, 's', concat(x, w[i + 1]))))"
     )).alias("x")).select("sig", "x.*")
 
-    refs = reference.select("ref_id", "ref").filter(r"ref is not null and ref rlike '\\S'")
+    refs = reference.select("ref_id", "ref").filter(r"ref is not null and ref rlike '(?U)\\S'")
     entries = cut_lineage(refs.select("ref_id", F.col("ref").alias("value")).join(
         refs.select(F.col("ref").alias("value")).distinct().mapInArrow(_tokens, "value string, toks array<string>"), "value"
     ).select("ref_id", F.array_distinct("toks").alias("toks")))

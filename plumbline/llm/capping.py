@@ -86,7 +86,7 @@ EXCLUSIONS = "employer_cap_exclusions"
 
 def _audit(spark: SparkSession, folder: str, dropped: bool) -> DataFrame:
     rows = table(spark, folder, EXCLUSIONS).select("role", "job_id", "employer", "created", "cap_per_employer_in_role")
-    employer = F.when(F.trim("employer") != "", F.col("employer"))
+    employer = F.when(F.col("employer").rlike(r"(?U)\S"), F.col("employer"))
     score = [instant(F.col("created")), -F.expr("try_cast(job_id as decimal(38,0))")]
     return cap_contributors(rows, [F.col("role"), employer], score, F.col("job_id"), F.col("cap_per_employer_in_role"), dropped)
 
@@ -109,7 +109,7 @@ _RANKED = f"""
     SELECT *, row_number() OVER (PARTITION BY role, employer ORDER BY
         try_cast(nullif(trim(created), '') AS TIMESTAMPTZ) DESC NULLS LAST,
         try_cast(job_id AS HUGEINT) NULLS LAST, job_id DESC) AS r,
-        employer IS NOT NULL AND trim(employer) <> '' AS named FROM {EXCLUSIONS}"""
+        coalesce(regexp_matches(employer, '[^\\s\\p{{Z}}]'), false) AS named FROM {EXCLUSIONS}"""
 
 SQL = {
     "p2_found": f"SELECT role, job_id FROM ({_RANKED}) WHERE named AND r > cap_per_employer_in_role",

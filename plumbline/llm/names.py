@@ -155,7 +155,7 @@ def link_names(names: DataFrame) -> DataFrame:
     spellings that differ by a space are two. Copies count as attestation. Which class
     gives the entity its id depends on the names only, not on their order.
     """
-    counted = names.select(F.col("name")).filter(r"name is not null and name rlike '\\S'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    counted = names.select(F.col("name")).filter(r"name is not null and name rlike '(?U)\\S'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     parts = cut_lineage(counted.mapInArrow(
         _parts,
         "name string, n bigint, core string, turns array<string>, words array<string>, field string, initials string, alias string, kind string",

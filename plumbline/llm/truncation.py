@@ -32,6 +32,9 @@ LOOSE, PRIOR = 0.5, 5.0
 #: Share of an opening's endings below which an ending is not one of its usual ones.
 USUAL = 0.12
 
+#: A text that holds more than white space of any kind.
+BLANKLESS = r"(?U)\S"
+
 # Marks that say the text goes on elsewhere.
 CONTINUED = re.compile(r"(?:\((?:cont\.?|continued|more)\)|\[(?:more|cont\.?|\.\.\.|…)\]|(?:…|\.\.\.)?\s*(?:read|see|show) more)$", re.I)
 ELLIPSIS = re.compile(r"(?:…|\.\.\.)$")
@@ -140,7 +143,7 @@ def cut_texts(df: DataFrame, row: Column, source: Column, text: Column) -> DataF
     often as they come in. Empty input gives no rows.
     """
     src = df.select(row.alias("row"), F.coalesce(source, F.lit("")).alias("source"), text.alias("t"))
-    filled = src.filter("trim(coalesce(t, '')) <> ''")
+    filled = src.filter(F.coalesce(F.col("t").rlike(BLANKLESS), F.lit(False)))
     kind = src.schema["row"].dataType.simpleString()
     feats = cut_lineage(filled.mapInArrow(
         _features,
@@ -189,7 +192,7 @@ def cut_texts(df: DataFrame, row: Column, source: Column, text: Column) -> DataF
     )
     judged = judged.select("row", "source", F.coalesce(verdict, F.lit(False)).alias("cut"))
     return judged.unionByName(
-        src.filter("trim(coalesce(t, '')) = ''").select("row", "source", F.lit(False).alias("cut"))
+        src.filter(~F.coalesce(F.col("t").rlike(BLANKLESS), F.lit(False))).select("row", "source", F.lit(False).alias("cut"))
     )
 
 

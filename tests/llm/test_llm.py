@@ -240,7 +240,7 @@ def test_truncation_learns_each_source(spark):
         rows.append((i, s, text))
         if cut:
             want.add(i)
-    rows += [(900, "fixed", None), (901, "fixed", ""), (902, "free", "  "), (903, "free", "Short."), (904, None, LONG + "."), (905, "free", "Grids for x (and"), (905, "free", "Grids for x (and")]
+    rows += [(900, "fixed", None), (901, "fixed", ""), (902, "free", " \t\xa0\n"), (903, "free", "Short."), (904, None, LONG + "."), (905, "free", "Grids for x (and"), (905, "free", "Grids for x (and")]
     got = truncation.cut_texts(spark.createDataFrame(rows, "id int, s string, t string"), F.col("id"), F.col("s"), F.col("t")).collect()
     assert len(got) == len(rows)
     found = {r["row"] for r in got if r["cut"]}
