@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import norm_title
 
 
+#: Rules that one projection may hold; a longer list is an error, none are left out.
+MOST = 2_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """A label with the patterns that call for it and those that forbid it; of rules of one ``overlap`` group the highest ``priority`` wins."""

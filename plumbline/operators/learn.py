@@ -238,11 +238,14 @@ def nearest_neighbours(df: DataFrame, ident: str, array: str, label: str, k: int
     The queries (``q``, ``v``) are a stated set: they are sent in blocks, each task
     keeps its ``k`` best for every query, and the tasks' lists are merged.
     """
-    qs = queries.select("q", "v").collect()  # a stated set of queries
     kinds = dict(df.dtypes)
+    blocks = max(1, -(-queries.count() // (block * 64)))
     out = None
-    for lo in range(0, len(qs), block * 64):
-        part = qs[lo : lo + block * 64]
+    for at in range(blocks):
+        # one block of queries is on the driver at a time
+        part = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == at).select("q", "v").collect()
+        if not part:
+            continue
         names = np.array([r["q"] for r in part])
         m = np.array([r["v"] for r in part], float)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
@@ -267,6 +270,8 @@ def nearest_neighbours(df: DataFrame, ident: str, array: str, label: str, k: int
         src = df.select(F.col(ident).alias("ident"), F.col(array).alias("v"), F.col(label).alias("label"))
         got = src.mapInPandas(best, f"q {queries.schema['q'].dataType.simpleString()}, ident {kinds[ident]}, label {kinds[label]}, sim double")
         out = got if out is None else out.union(got)
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"q {queries.schema['q'].dataType.simpleString()}, ident {kinds[ident]}, label {kinds[label]}, sim double")
     w = Window.partitionBy("q").orderBy(F.col("sim").desc(), "ident")
     return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 

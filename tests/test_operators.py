@@ -272,3 +272,15 @@ def test_prefix_sums_and_quantiles_of_a_hot_group(spark):
         assert np.allclose([r["a"], r["m"], r["z"]], np.quantile(own, [0.1, 0.5, 0.97])) and r["n"] == len(own)
     ranked = stats.average_rank(df, [], "v", "r").collect()
     assert len(ranked) == 902 and next(r for r in ranked if r["v"] is None)["r"] is None
+
+
+def test_neighbours_in_several_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(v)], "id int, v array<double>, y int")
+    queries = df.filter("id % 5 = 0").select(F.col("id").alias("q"), "v")
+    got = learn.nearest_neighbours(df, "id", "v", "y", 4, queries, block=1)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(q, int(i)) for q in range(0, 300, 5) for i in np.argsort(-(u @ u[q]), kind="stable")[:4]}
+    assert {(r["q"], r["ident"]) for r in got.collect()} == want
+    assert learn.nearest_neighbours(df, "id", "v", "y", 4, queries.filter("false")).count() == 0
