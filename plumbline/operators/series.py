@@ -290,11 +290,12 @@ def difference_in_differences(change: DataFrame, unit: str, treated: Sequence[ob
 
 def randomisation(change: DataFrame, unit: str, assignments: DataFrame) -> DataFrame:
     """``subset, did`` for every assignment ``(subset, name)`` of treated units."""
-    total = change.agg(F.sum("change").alias("s"), F.count("change").alias("n"))
-    t = assignments.join(change, F.col("name") == F.col(unit)).groupBy("subset").agg(F.sum("change").alias("a"), F.count("change").alias("k"))
-    return t.join(F.broadcast(total)).select(  # one row
-        "subset", (F.col("a") / F.col("k") - (F.col("s") - F.col("a")) / (F.col("n") - F.col("k"))).alias("did")
+    every = Window.partitionBy(F.lit(0))  # the units are few
+    c = change.select(F.col(unit), "change", F.sum("change").over(every).alias("s"), F.count("change").over(every).alias("n"))
+    t = assignments.join(c, F.col("name") == F.col(unit)).groupBy("subset").agg(
+        F.sum("change").alias("a"), F.count("change").alias("k"), F.max("s").alias("s"), F.max("n").alias("n")
     )
+    return t.select("subset", (F.col("a") / F.col("k") - (F.col("s") - F.col("a")) / (F.col("n") - F.col("k"))).alias("did"))
 
 
 def conformal_intervals(bt: DataFrame, by: Sequence[str], alpha: float, least: int) -> DataFrame:

@@ -169,3 +169,17 @@ def subsets(spark, names: Sequence[str], size: int) -> DataFrame:
     masks = spark.range(1 << len(names)).filter(F.bit_count("id") == size)
     members = F.array(*[F.when(F.col("id").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)])
     return masks.select(F.col("id").alias("subset"), F.explode(F.array_compact(members)).alias("name"))
+
+
+def combinations(spark, names: Sequence[str], size: int) -> DataFrame:
+    """The same of at most 62 names, built member by member, so that only the subsets themselves are made."""
+    if len(names) > 62:
+        raise ValueError("at most 62 names")
+    if not 0 < size <= len(names):
+        return spark.createDataFrame([], "subset bigint, name string")
+    x = spark.range(1).select(F.array().cast("array<int>").alias("at"), F.lit(-1).alias("last"))
+    for i in range(size):
+        x = x.select("at", F.explode(F.sequence(F.col("last") + 1, F.lit(len(names) - size + i))).alias("last")).select(F.array_append("at", F.col("last")).alias("at"), "last")
+    bits = F.aggregate("at", F.lit(0).cast("bigint"), lambda a, i: a + F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
+    at = F.explode("at").alias("i")
+    return x.select(bits.alias("subset"), at).select("subset", F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("name"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import series, windows
 from plumbline.plans.registry import Registry
+from plumbline.session import cut_lineage
 from plumbline.sources.tables import table
 
 q = Registry()
@@ -119,9 +120,9 @@ def interrupted_series(s, d):
     return series.interrupted(_monthly(s, d), ["g"], "m", "v", datetime.datetime(1998, 7, 1))
 
 
-def _nation_months(s, d):
+def _nation_months(s, d, among="c_nationkey < 12"):
     o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.filter("c_nationkey < 12").groupBy(F.col("c_nationkey").cast("string").alias("u"), F.date_trunc("month", "o_orderdate").alias("m")).agg(F.sum("o_totalprice").alias("v"))
+    return o.filter(among).groupBy(F.col("c_nationkey").cast("string").alias("u"), F.date_trunc("month", "o_orderdate").alias("m")).agg(F.sum("o_totalprice").alias("v"))
 
 
 _CHANGE = """SELECT cast(c_nationkey AS VARCHAR) AS u, avg(v) FILTER (m >= TIMESTAMP '1998-07-01') - avg(v) FILTER (m < TIMESTAMP '1998-07-01') AS change FROM
@@ -150,12 +151,52 @@ def did_randomisation(s, d):
     c AS (SELECT e, c_nationkey, avg(v) FILTER (m >= e) - avg(v) FILTER (m < e) AS change FROM x, p GROUP BY 1, 2)
     SELECT e AS event, avg(change) FILTER (c_nationkey < 5) - avg(change) FILTER (c_nationkey >= 5) AS did FROM c GROUP BY 1""")
 def placebo_dates(s, d):
-    x = _nation_months(s, d).withColumn("event", F.explode(F.expr("sequence(timestamp'1997-01-01', timestamp'1999-01-01', interval 6 months)")))
+    return _placebo(_nation_months(s, d))
+
+
+def _placebo(months):
+    x = months.withColumn("event", F.explode(F.expr("sequence(timestamp'1997-01-01', timestamp'1999-01-01', interval 6 months)")))
     c = x.groupBy("event", "u").agg((F.avg(F.when(F.col("m") >= F.col("event"), F.col("v"))) - F.avg(F.when(F.col("m") < F.col("event"), F.col("v")))).alias("change"))
     inside = F.col("u").cast("int") < 5
     return c.groupBy("event").agg((F.avg(F.when(inside, F.col("change"))) - F.avg(F.when(~inside, F.col("change")))).alias("did"))
 
 
+# the same over the orders of all nations; the three above are bound by their SQL to the first twelve
+
+_ALL = "c_nationkey IS NOT NULL"
+_CHANGE_ALL = _CHANGE.replace("c_nationkey < 12", _ALL)
+_TREATED = ("0", "3", "5", "7", "11")
+
+
+def _nation_changes(s, d):
+    return series.changes(_nation_months(s, d, _ALL), "u", "m", "v", F.lit("1998-07-01").cast("timestamp"))
+
+
+@q("did_effect_all", f"SELECT avg(change) FILTER (u IN {_TREATED}) - avg(change) FILTER (u NOT IN {_TREATED}) AS did FROM ({_CHANGE_ALL})")
+def did_effect_all(s, d):
+    return series.difference_in_differences(_nation_changes(s, d), "u", _TREATED)
+
+
+@q("did_randomisation_all", f"""
+    WITH c AS (SELECT change AS x, row_number() OVER (ORDER BY u::INTEGER) - 1 AS i FROM ({_CHANGE_ALL}) WHERE change IS NOT NULL), t AS (SELECT sum(x) AS s, count(*) AS n FROM c),
+    a AS (SELECT (1::BIGINT << a.i) + (1::BIGINT << b.i) + (1::BIGINT << c.i) + (1::BIGINT << d.i) + (1::BIGINT << e.i) AS m, a.x + b.x + c.x + d.x + e.x AS a
+      FROM c a JOIN c b ON a.i < b.i JOIN c ON b.i < c.i JOIN c d ON c.i < d.i JOIN c e ON d.i < e.i)
+    SELECT m AS subset, round(a / 5 - (s - a) / (n - 5), 6) AS did FROM a, t""")
+def did_randomisation_all(s, d):
+    c = cut_lineage(_nation_changes(s, d).filter("change is not null"))
+    units = sorted((r["u"] for r in c.select("u").collect()), key=int)  # the nations
+    return series.randomisation(c, "u", windows.combinations(s, units, 5)).select("subset", F.round("did", 6).alias("did"))
+
+
+@q("placebo_dates_all", f"""
+    WITH x AS (SELECT c_nationkey, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_ALL} GROUP BY 1, 2),
+    p AS (SELECT unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1999-01-01', INTERVAL 6 MONTH)) AS e),
+    c AS (SELECT e, c_nationkey, avg(v) FILTER (m >= e) - avg(v) FILTER (m < e) AS change FROM x, p GROUP BY 1, 2)
+    SELECT e AS event, avg(change) FILTER (c_nationkey < 5) - avg(change) FILTER (c_nationkey >= 5) AS did FROM c GROUP BY 1""")
+def placebo_dates_all(s, d):
+    return _placebo(_nation_months(s, d, _ALL))
+
+
 @q("conformal_coverage")
 def conformal_coverage(s, d):
     c = series.conformal_intervals(_backtest(s, d), ["g"], 0.2, 3).filter("inside is not null")

@@ -57,3 +57,19 @@ def test_runs(spark, name, module):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_did_queries_hold_every_nation(spark):
+    from itertools import combinations
+    from statistics import mean
+
+    months = timeseries._nation_months(spark, DATA, timeseries._ALL)
+    total = spark.read.parquet(f"{DATA}/orders.parquet").agg({"o_totalprice": "sum"}).first()[0]
+    assert months.agg({"v": "sum"}).first()[0] == pytest.approx(total)
+    c = {int(r["u"]): r["change"] for r in timeseries._nation_changes(spark, DATA).filter("change is not null").collect()}
+    assert len(c) > 12
+    got = {r["subset"]: r["did"] for r in timeseries.did_randomisation_all(spark, DATA).collect()}
+    names = sorted(c)
+    want = {sum(1 << names.index(u) for u in t): mean(c[u] for u in t) - mean(c[u] for u in names if u not in t) for t in combinations(names, 5)}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-4) for k, v in want.items())
