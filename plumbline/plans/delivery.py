@@ -15,15 +15,13 @@ BATCHES = 3
 
 
 def _filled(spark: SparkSession, folder: str) -> KeyedStore:
-    rows = table(spark, folder, RECORDS).select(
-        F.col("collection.adzuna_id").alias("adzuna_id"),
-        F.col("collection.run_id").alias("run_id"),
-        F.col("collection.collected_at").alias("collected_at"),
-    )
-    batch = F.pmod(F.coalesce(F.xxhash64("run_id"), F.lit(0)), F.lit(BATCHES))
+    """A store of the whole envelopes."""
+    rows = table(spark, folder, RECORDS)
+    at = F.col("collection")
+    batch = F.pmod(F.coalesce(F.xxhash64(at["run_id"]), F.lit(0)), F.lit(BATCHES))
     store = KeyedStore(spark, new_folder(spark, "deliveries"))
     for i in range(BATCHES):
-        store.upsert(rows.filter(batch == i), F.col("adzuna_id"), f"batch{i}", [instant(F.col("collected_at"))])
+        store.upsert(rows.filter(batch == i), at["adzuna_id"], f"batch{i}", [instant(at["collected_at"]), at["run_id"], at["collected_at"]])
     return store
 
 
@@ -34,10 +32,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The one copy that stays of each identifier: the latest collected, then the largest run."""
-    return _filled(spark, folder).read("deliveries")
+    c = F.col("collection")
+    return _filled(spark, folder).read("deliveries").select(c["adzuna_id"].alias("adzuna_id"), c["run_id"].alias("run_id"), c["collected_at"].alias("collected_at"), "deliveries")
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept}
+def p1_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole envelopes that stay: one of each identifier, and every one without an identifier."""
+    store = _filled(spark, folder)
+    return store.read("deliveries").unionByName(store.unkeyed().withColumn("deliveries", F.lit(1).cast("bigint")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p1_envelopes": p1_envelopes}
 
 SQL = {
     "p1_found": f"""

@@ -59,3 +59,29 @@ def test_ties_very_long_values_and_clashing_names(spark):
     s.upsert(df, F.col("k"), "x", [F.col("v")])
     got = s.read("times").collect()
     assert sorted((len(r["k"]), r["times"], r["n"]) for r in got) == [(1, 1, None), (100_000, 3, 2)]
+
+
+def test_whole_envelopes_come_out_of_the_deliveries(spark, tmp_path):
+    from plumbline.plans import delivery
+
+    source = spark.read.parquet(f"/root/testdata/sf0.001/{delivery.RECORDS}.parquet")
+    keyed = source.filter("collection.adzuna_id is not null").limit(40)
+    loose = keyed.limit(3).withColumn("collection", F.col("collection").withField("adzuna_id", F.lit(None).cast("string")))
+    later = keyed.limit(5).withColumn("collection", F.col("collection").withField("collected_at", F.lit("2030-01-01T00:00:00Z")))
+    keyed.union(loose).union(loose).union(later).write.parquet(f"{tmp_path}/{delivery.RECORDS}.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/{delivery.RECORDS}.parquet").collect()
+    out = delivery.p1_envelopes(spark, str(tmp_path))
+    assert out.columns == [*source.columns, "deliveries"]
+    got = [((r["collection"], r["raw"]), r["deliveries"]) for r in out.collect()]
+    want = {}
+    for r in rows:
+        if r["collection"]["adzuna_id"] is not None:
+            want.setdefault(r["collection"]["adzuna_id"], []).append((r["collection"], r["raw"]))
+    one = {e[0]["adzuna_id"]: (e, n) for e, n in got if e[0]["adzuna_id"] is not None}
+    assert one.keys() == want.keys() and len(one) + 6 == len(got)
+    for k, (e, n) in one.items():
+        assert e in want[k] and n == len(want[k])
+        if any(x[0]["collected_at"].startswith("2030") for x in want[k]):
+            assert e[0]["collected_at"].startswith("2030")
+    free = sorted(str(e) for e, n in got if e[0]["adzuna_id"] is None)
+    assert free == sorted(str((r["collection"], r["raw"])) for r in rows if r["collection"]["adzuna_id"] is None)
