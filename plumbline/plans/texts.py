@@ -52,6 +52,13 @@ def decode_entities(s, d):
     return r.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text.decode_entities(F.col("description")))).alias("chars"))
 
 
+@q("decode_entities_all")
+def decode_entities_all(s, d):
+    """The same over every description, those that end in an unfinished entity too."""
+    r = table(s, d, "records_graphic_designer__visual_designer").select("collection.run_id", "raw.description").filter("description is not null")
+    return r.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text.decode_entities(F.col("description")))).alias("chars"))
+
+
 @q("whole_words", """SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9+#])risk logs([^a-z0-9+#]|$)') AS risk, regexp_matches(lower(text), '(^|[^a-z])status[ _-]*mails([^a-z]|$)') AS mails FROM documents WHERE text IS NOT NULL""")
 def whole_words(s, d):
     low = F.lower("text")

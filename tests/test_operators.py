@@ -284,3 +284,20 @@ def test_neighbours_in_several_blocks_equal_brute_force(spark):
     want = {(q, int(i)) for q in range(0, 300, 5) for i in np.argsort(-(u @ u[q]), kind="stable")[:4]}
     assert {(r["q"], r["ident"]) for r in got.collect()} == want
     assert learn.nearest_neighbours(df, "id", "v", "y", 4, queries.filter("false")).count() == 0
+
+
+def test_open_entities_are_decoded_like_all_others(spark, tmp_path):
+    import html
+    import re
+
+    from plumbline.plans import texts
+
+    said = ["Design &amp; print", "ends in &", "ends in &am", "ends in &amp", "ends in &lt", "ends in &copy", "a&nbsp", "&#38", "", None, "see https://x.example/a?b=1&amp", "R&D &notit"]
+    df = spark.createDataFrame([((f"run{i % 2}",), (t,)) for i, t in enumerate(said)], "collection struct<run_id: string>, raw struct<description: string>")
+    df.write.parquet(f"{tmp_path}/records_graphic_designer__visual_designer.parquet")
+    want = {}
+    for i, t in enumerate(said):
+        if t is not None:
+            n, chars = want.get(f"run{i % 2}", (0, 0))
+            want[f"run{i % 2}"] = (n + 1, chars + len(re.sub(r"https?://\S+", " ", html.unescape(t))))
+    assert {r["run_id"]: (r["n"], r["chars"]) for r in texts.decode_entities_all(spark, str(tmp_path)).collect()} == want
