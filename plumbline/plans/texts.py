@@ -275,9 +275,19 @@ def json_props(s, d):
 
 @q("literal_dict", "SELECT event_id, json_array_length(replace('{\"ug\": [1, 2], \"pg\": []}'::JSON ->> 'ug', ' ', ''))::INTEGER AS ug FROM events WHERE event_type = 'error'")
 def literal_dict(s, d):
+    return _literals(table(s, d, "events").filter("event_type = 'error'"))
+
+
+@q("literal_dict_all", "SELECT event_id, json_array_length(replace('{\"ug\": [1, 2], \"pg\": []}'::JSON ->> 'ug', ' ', ''))::INTEGER AS ug FROM events")
+def literal_dict_all(s, d):
+    """The same over every event."""
+    return _literals(table(s, d, "events"))
+
+
+def _literals(events):
     raw = F.lit("{'ug': [1, 2], 'pg': None}")
     parsed = F.from_json(F.regexp_replace(raw, "None", "null"), "ug array<int>, pg array<int>", {"allowSingleQuotes": "true"})
-    return table(s, d, "events").filter("event_type = 'error'").select("event_id", F.size(parsed["ug"]).alias("ug"))
+    return events.select("event_id", F.size(parsed["ug"]).alias("ug"))
 
 
 @q("vector_products", "SELECT vec_id, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS norm2 FROM embeddings")

@@ -73,3 +73,9 @@ def test_did_queries_hold_every_nation(spark):
     want = {sum(1 << names.index(u) for u in t): mean(c[u] for u in t) - mean(c[u] for u in names if u not in t) for t in combinations(names, 5)}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(v, abs=1e-4) for k, v in want.items())
+
+
+def test_every_line_and_event_is_expanded(spark):
+    lines, events = (spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("lineitem", "events"))
+    assert extras.table_callable_all(spark, DATA).count() == 3 * lines
+    assert texts.literal_dict_all(spark, DATA).count() == events
