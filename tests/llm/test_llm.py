@@ -355,3 +355,20 @@ def test_same_look_pairs(spark):
     assert got == {(1, 2), (2, 3), (1, 4), (3, 4), (2, 4), (9, 10)}
     assert lookalike.same_look(df.filter("false"), "id", "t").count() == 0
     assert unicodedata.normalize("NFC", lookalike.fold_python("Рay")) == "Pay"
+
+
+def test_history_finds_repeated_phrases_under_another_employer(spark):
+    long = " ".join(f"word{i}" for i in range(30))
+    rows = [
+        ("r1", "1", "apply " * 14, "Acme"), ("r1", "2", "join us " * 8, "Acme"), ("r1", "3", "call us now " * 6, "Acme"), ("r1", "4", "new " * 12 + long, "Acme"),
+        ("r2", "11", "apply " * 20, "Bolt"), ("r2", "12", "join us " * 9, "Bolt"), ("r2", "13", "call us now " * 7, "Bolt"), ("r2", "14", "new " * 14, "Bolt"),
+        ("r2", "15", "other " * 14, "Bolt"), ("r2", "16", "join them " * 8, "Bolt"),
+    ]
+    p = history.prepare(spark.createDataFrame(rows, "run string, id string, t string, g string"), F.col("run"), F.col("id"), F.col("t"), F.col("g"))
+    assert brute(rows) == {("r2", str(i)) for i in (11, 12, 13, 14)}
+    for calls in ([["r1", "r2"]], [["r1"], ["r2"]]):
+        index, got = history.HistoryIndex(spark, new_folder(spark, "h"), n_buckets=2), set()
+        index.fit(p)
+        for some in calls:
+            got |= {(x["run"], x["id"]) for x in index.add(p.filter(F.col("run").isin(some)), some).collect()}
+        assert got == brute(rows)
