@@ -115,7 +115,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
         "distance > 0 and (edits <= 1 or length(t) >= %d) and length(s) >= 3" % LONG
     ).select("s", "t", (1 - F.col("edits") / F.length("t")).alias("sim"))
     first = lambda c: F.substring(c, 1, 1)
-    short = distinct.filter("length(s) between 2 and 9").withColumn("k", first("s")).join(
+    short = distinct.filter("length(s) >= 2").withColumn("k", first("s")).join(
         words.select("t").distinct().withColumn("k", first("t")), "k"
     ).filter("length(s) < length(t)").select("s", "t").mapInArrow(_abbreviated, "s string, t string, sim double")
     fixed = values.sparkSession.createDataFrame([(s, t) for s, ts in SPELLINGS.items() for t in ts], "s string, t string")

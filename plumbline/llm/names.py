@@ -138,8 +138,10 @@ def _parts(batches: Iterator) -> Iterator:
             p = parse(name)
             words = p["words"]
             turns = sorted({"".join(words[i:] + words[:i]) for i in range(len(words))}) if len(words) <= 6 else ["".join(words)]
+            core = turns[0] if turns else None
+            turns = sorted({*turns, "".join(sorted(words))} - {""})  # the last meets the same words in any order
             initials = "".join(w[0] for w in words) + (p["field"] or "")[:1] + p["legal"]
-            rows.append((name, n, turns[0] if turns else None, turns, words, p["field"], initials, p["alias"], p["kind"]))
+            rows.append((name, n, core, turns, words, p["field"], initials, p["alias"], p["kind"]))
         columns = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -165,7 +167,7 @@ def link_names(names: DataFrame) -> DataFrame:
     cores = cut_lineage(whole.groupBy("core").agg(
         F.sum("n").alias("n"),
         F.max_by("words", F.struct(F.size("words") == 2, "n", "name")).alias("words"),
-        F.any_value("turns").alias("turns"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("turns")))).alias("turns"),
         F.max_by("field", F.struct(F.col("field").isNotNull(), "n", "name")).alias("field"),
         F.max(F.size("words") == 2).alias("paired"),
     ))

@@ -12,6 +12,7 @@ the source, so three baselines are counted over all records:
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -73,10 +74,10 @@ def still_open(text: str) -> str:
 
 
 def _shape(segment: str) -> str:
-    """A sentence with its numbers and capitalised words blanked, but for the first."""
+    """A hash of a whole sentence with its numbers and capitalised words blanked, but for the first."""
     head, _, rest = segment.partition(" ")
     rest = re.sub(r"\b[^\W\d_a-z]\w*", "W", re.sub(r"\d+", "9", rest))
-    return f"{_head(head)} {rest}".strip()[:80]
+    return hashlib.blake2b(f"{_head(head)} {rest}".strip().encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 def _head(word: str) -> str:

@@ -372,3 +372,24 @@ def test_history_finds_repeated_phrases_under_another_employer(spark):
         for some in calls:
             got |= {(x["run"], x["id"]) for x in index.add(p.filter(F.col("run").isin(some)), some).collect()}
         assert got == brute(rows)
+
+
+def test_names_with_the_same_words_in_any_order_are_one(spark):
+    same = [["Amber Brook Castle", "Amber Castle Brook"], ["Dune Ember Falcon Garnet", "Ember Dune Garnet Falcon"], ["Harbor Indigo Juniper Kestrel Lagoon Meadow Nimbus", "Nimbus Harbor Indigo Lagoon Juniper Kestrel Meadow"]]
+    df = spark.createDataFrame([(n,) for pair in same for n in pair] + [("Amber Brook Tundra",)], "name string")
+    got = {r["name"]: r["entity"] for r in names.link_names(df).collect()}
+    assert all(got[a] == got[b] for a, b in same)
+    assert len(set(got.values())) == 4
+
+
+def test_long_words_may_be_abbreviated(spark):
+    ref = spark.createDataFrame([(1, "Internationalization Engineer"), (2, "Road Engineer")], "ref_id int, ref string")
+    got = canonical.map_values(spark.createDataFrame([("Internationalztn Engineer",)], "value string"), ref).collect()
+    assert [r["ref_id"] for r in got] == [1]
+
+
+def test_shapes_of_endings_are_compared_whole():
+    house = "we " + "gladly answer all questions about this place " * 3 + "at any time you like"
+    assert truncation._shape(house) == truncation._shape(house)
+    assert truncation._shape(house) != truncation._shape(house[:120])
+    assert truncation._shape("Ask Anna about 12 posts") == truncation._shape("Ask Bert about 7 posts")
