@@ -5,7 +5,8 @@ keeps, for a contributor, only the cap's best (score, identifier) pairs before
 anything is shuffled, and merging two heaps gives a heap again. Heaps are merged
 in two levels, first by contributor and a salt, then by contributor, so that a
 contributor that fills a third of the table is merged by many tasks. The kept
-identifiers then select the full records by a semi-join.
+identifiers then select the full records by a semi-join; where several copies of one
+row lie on the cap's edge, so many of them stay as have a place left.
 """
 
 from __future__ import annotations
@@ -14,49 +15,59 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
 from plumbline.session import scratch_name
 from plumbline.sources.tables import instant, table
 
+try:
+    from pyspark.sql.internal import InternalFunction
+except ImportError:  # Spark's own, not promised to stay: sorted runs do without it
+    InternalFunction = None
+
 #: Heaps up to this size stay in memory; larger caps merge sorted runs, which spill.
 HEAP_LIMIT = 20_000
 #: Tasks that merge one contributor's heaps on the first level.
 SALTS = 16
 
 
-def _pairs(df: DataFrame, keys: Sequence[Column], score: Sequence[Column], ident: Column, cap: Column) -> DataFrame:
-    names = [f"k{i}" for i in range(len(keys))]
-    pair = F.struct(*[c.alias(f"s{i}") for i, c in enumerate(score)], ident.alias("id"))
-    return df.select(*[k.alias(n) for k, n in zip(keys, names)], cap.cast("long").alias("cap"), pair.alias("pair"))
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, equal for equal rows in any run of a task."""
+    return F.xxhash64(F.lit(0), *[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def kept_ids(
     df: DataFrame, keys: Sequence[Column], score: Sequence[Column], ident: Column, cap: Column,
     heap_limit: int = HEAP_LIMIT, salts: int = SALTS,
 ) -> DataFrame:
-    """``k0.., id``: the identifiers that stay, at most ``cap`` of each combination of ``keys``.
+    """``k0.., id, tie, places, edge``: the pairs that stay, at most ``cap`` rows of each combination of ``keys``.
 
-    The largest ``score`` (then the larger ``ident``) stay; nulls in a score count as
-    smallest. ``cap`` is constant within a contributor; null or negative means none
-    stay. Copies of a row each take a place. Empty input gives no rows.
+    The largest ``score`` (then the larger ``ident``, then the larger hash of the row)
+    stay; nulls in a score count as smallest. ``cap`` is constant within a contributor;
+    null or negative means none stay. Copies of a row each take a place: ``places``
+    says how many of them stay, ``edge`` whether the contributor's last place is
+    among them. Empty input gives no rows.
     """
-    pairs = _pairs(df, keys, score, ident, cap).filter("cap > 0")
     names = [f"k{i}" for i in range(len(keys))]
+    pair = F.struct(*[c.alias(f"s{i}") for i, c in enumerate(score)], ident.alias("id"), _row_hash(df).alias("tie"))
+    pairs = df.select(*[k.alias(n) for k, n in zip(keys, names)], cap.cast("long").alias("cap"), pair.alias("pair")).filter("cap > 0")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("pair"), F.lit(salts)))
     largest = pairs.agg(F.max("cap")).first()[0]  # one number: the size that heaps may need
-    if largest is None or largest <= heap_limit:
+    if InternalFunction and (largest is None or largest <= heap_limit):
         size = int(largest or 1)
         heap = lambda c: InternalFunction.collect_top_k(c, size, False)
         trim = lambda d: d.select(*names, "cap", F.explode(F.slice("heap", F.lit(1), F.col("cap").cast("int"))).alias("pair"))
         part = trim(salted.groupBy(*names, "cap", "salt").agg(heap("pair").alias("heap")))
-        best = trim(part.groupBy(*names, "cap").agg(heap("pair").alias("heap")))
+        best = part.groupBy(*names, "cap").agg(heap("pair").alias("heap"))
+        best = best.select(*names, "cap", F.posexplode(F.slice("heap", F.lit(1), F.col("cap").cast("int"))).alias("r", "pair"))
+        best = best.withColumn("r", F.col("r") + 1)
     else:
         first = Window.partitionBy(*names, "salt").orderBy(F.col("pair").desc())
         second = Window.partitionBy(*names).orderBy(F.col("pair").desc())
         part = salted.withColumn("r", F.row_number().over(first)).filter("r <= cap")
         best = part.withColumn("r", F.row_number().over(second)).filter("r <= cap")
-    return best.select(*names, F.col("pair.id").alias("id"))
+    return best.groupBy(*names, "pair.id", "pair.tie").agg(
+        F.count(F.lit(1)).alias("places"), (F.max("r") == F.max("cap")).alias("edge")
+    )
 
 
 def cap_contributors(
@@ -64,21 +75,33 @@ def cap_contributors(
 ) -> DataFrame:
     """The full records that stay under the cap, or with ``dropped`` those that go.
 
-    A record stays whole or goes whole: rows of one contributor with equal
-    identifiers share their fate. Rows with a null key have no contributor and are
-    never capped. All columns come through unchanged.
+    Never more than ``cap`` rows of a contributor stay, copies of a row counted one by
+    one. Rows with a null key have no contributor and are never capped. All columns
+    come through unchanged.
     """
     known = F.lit(True)
     for k in keys:
         known = known & k.isNotNull()
-    kept = kept_ids(df.filter(known), keys, score, ident, cap, **how)
     own = scratch_name()  # no clash with the table's own columns
-    kept = kept.toDF(*[f"{own}_{i}" for i in range(len(keys) + 1)]).distinct()
-    match = ident.eqNullSafe(F.col(f"{own}_{len(keys)}"))
+    n, columns = len(keys), [F.col(f"`{c}`") for c in df.columns]
+    kept = kept_ids(df.filter(known), keys, score, ident, cap, **how).toDF(
+        *[f"{own}_{i}" for i in range(n + 2)], f"{own}_places", f"{own}_edge"
+    )
+    tied = df.filter(known).withColumn(f"{own}_tie", _row_hash(df))
+    match = ident.eqNullSafe(F.col(f"{own}_{n}")) & (F.col(f"{own}_tie") == F.col(f"{own}_{n + 1}"))
     for i, k in enumerate(keys):
         match = match & (k == F.col(f"{own}_{i}"))
-    capped = df.filter(known).join(kept, match, "left_anti" if dropped else "left_semi")
-    return capped if dropped else capped.unionByName(df.filter(~known))
+    # at most one pair of a contributor lies on the edge; its copies are equal, so they are counted, not listed
+    edge = tied.join(kept.filter(F.col(f"{own}_edge")), match).groupBy(*[f"{own}_{i}" for i in range(n + 2)], f"{own}_places").agg(
+        F.any_value(F.struct(*columns)).alias(f"{own}_row"), F.count(F.lit(1)).alias(f"{own}_copies")
+    )
+    places, copies = F.col(f"{own}_places"), F.col(f"{own}_copies")
+    times = copies - places if dropped else F.least(places, copies)
+    edge = edge.filter(times > 0).select(F.explode(F.sequence(F.lit(1), times)), f"{own}_row").select(f"{own}_row.*")
+    if dropped:
+        return tied.join(kept, match, "left_anti").select(*columns).unionByName(edge)
+    whole = tied.join(kept.filter(~F.col(f"{own}_edge")), match, "left_semi").select(*columns)
+    return whole.unionByName(edge).unionByName(df.filter(~known))
 
 
 EXCLUSIONS = "employer_cap_exclusions"

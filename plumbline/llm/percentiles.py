@@ -23,11 +23,18 @@ from plumbline.sources.tables import table
 QUARTS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 
 
+def grid_step(relative_error: float) -> float:
+    """The distance of grid points in logarithms: half of it, upwards, is the whole error; a 10^-9 of it is left to rounding."""
+    if not relative_error > 0:
+        raise ValueError("the error is positive")
+    return 2 * math.log1p(relative_error) * (1 - 1e-9)
+
+
 def on_grid(value: Column, relative_error: float) -> Column:
     """``value`` moved to a grid point at most ``relative_error`` of it away; 0 stays 0."""
-    step = math.log1p(relative_error) - math.log1p(-relative_error)
+    step = grid_step(relative_error)
     return F.when(value == 0, F.lit(0.0)).otherwise(
-        F.signum(value) * F.exp(F.round(F.log(F.abs(value)) / step) * step)
+        F.signum(value) * F.exp(F.round(F.log(F.abs(value)) / F.lit(step)) * F.lit(step))
     )
 
 
@@ -75,6 +82,8 @@ def percentiles(counts: DataFrame, targets: Mapping[str, float] = QUARTS, partit
     )
 
 
+#: The relative error of ``p3_bounded``.
+BOUND = 0.01
 RECORDS = "records_project_manager__scrum_master"
 
 
@@ -97,7 +106,7 @@ def p3_combined(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_bounded(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of all titles together with values on a grid of 1 % relative error."""
-    counts = value_counts(_rows(spark, folder), F.lit("all"), F.col("salary_min"), 0.01)
+    counts = value_counts(_rows(spark, folder), F.lit("all"), F.col("salary_min"), BOUND)
     return percentiles(counts).drop("g").select("n", *[F.round(k, 4).alias(k) for k in QUARTS])
 
 
@@ -112,4 +121,11 @@ _SQL = f"""
              row_number() OVER (PARTITION BY title ORDER BY v) AS r
       FROM (SELECT raw.title AS title, raw.salary_min AS v FROM {RECORDS}) WHERE v IS NOT NULL) GROUP BY title"""
 
-SQL = {"p3_percentiles": _SQL, "p3_combined": _SQL}
+_STEP = repr(grid_step(BOUND))
+_GRID = f"""
+    SELECT max(n) AS n, {", ".join(f"round(min(CASE WHEN r >= greatest(1, ceil({q} * n - 1e-9)) THEN v END), 4) AS {k}" for k, q in QUARTS.items())} FROM (
+      SELECT v, count(*) OVER () AS n, row_number() OVER (ORDER BY v) AS r FROM (
+        SELECT CASE WHEN v = 0 THEN 0.0 ELSE sign(v) * exp(round(ln(abs(v)) / {_STEP}) * {_STEP}) END AS v
+        FROM (SELECT raw.salary_min AS v FROM {RECORDS}) WHERE v IS NOT NULL AND NOT isnan(v)))"""
+
+SQL = {"p3_percentiles": _SQL, "p3_combined": _SQL, "p3_bounded": _GRID}

@@ -40,11 +40,21 @@ def test_cap_equals_sorting_with_heaps_and_with_runs(spark):
 
 def test_cap_edges(spark):
     df = spark.createDataFrame([("g", "w", 1, "x", 1, 7), ("g", "w", 1, "x", 1, 7), ("g", "w", None, None, 1, 7), (None, "w", 1, "y", 1, 7)], CAPS)
-    assert sorted(str(r["id"]) for r in kept(df).collect()) == ["x", "x", "y"]
+    assert sorted(str(r["id"]) for r in kept(df).collect()) == ["x", "y"]
     assert kept(df.filter("false")).count() == 0
     assert kept(df.withColumn("cap", F.lit(None).cast("int"))).count() == 1
 
 
+@pytest.mark.parametrize("how", [{}, {"heap_limit": 1}])
+def test_copies_on_the_edge_never_exceed_the_cap(spark, how):
+    rows = [("g", "w", 5, "a", 3, 0)] + [("g", "w", 4, "b", 3, 0)] * 3 + [("g", "w", 4, "b", 3, 1), ("g", "v", 1, "b", 3, 0), ("g", "v", 1, "b", 3, 0)]
+    df = spark.createDataFrame(rows, CAPS).withColumn("m", F.create_map(F.lit("x"), F.col("at")))
+    stay = sorted(tuple(r)[:6] for r in kept(df, **how).collect())
+    gone = sorted(tuple(r)[:6] for r in kept(df, dropped=True, **how).collect())
+    assert len([r for r in stay if r[1] == "w"]) == 3 and len([r for r in stay if r[1] == "v"]) == 2
+    assert sorted(stay + gone) == sorted(rows)
+
+
 # percentiles
 
 def exact(values, q):
@@ -67,8 +77,17 @@ def test_percentiles_combine_over_days_and_bound_their_error(spark):
     parts = [percentiles.value_counts(df.filter(F.col("day") == d), F.col("t"), F.col("v")) for d in range(4)]
     whole = percentiles.percentiles(percentiles.value_counts(df, F.col("t"), F.col("v"))).first()
     assert percentiles.percentiles(percentiles.combine(*parts)).first() == whole
-    near = percentiles.percentiles(percentiles.value_counts(df, F.col("t"), F.col("v"), 0.01)).first()
-    assert all(abs(near[k] / whole[k] - 1) <= 0.0101 for k in percentiles.QUARTS)
+    for e in (0.01, 0.2):
+        near = percentiles.percentiles(percentiles.value_counts(df, F.col("t"), F.col("v"), e)).first()
+        assert all(abs(near[k] / whole[k] - 1) <= e for k in percentiles.QUARTS)
+
+
+@pytest.mark.parametrize("e", [0.001, 0.01, 0.2])
+def test_grid_keeps_its_bound(spark, e):
+    rng = random.Random(11)
+    df = spark.createDataFrame([(rng.choice([-1, 1]) * 10 ** rng.uniform(-6, 9),) for _ in range(20_000)], "v double")
+    far = df.filter("v <> 0").select(F.max(F.abs(percentiles.on_grid(F.col("v"), e) / F.col("v") - 1))).first()[0]
+    assert 0.9 * e < far <= e
 
 
 def test_percentiles_of_nothing(spark):
