@@ -91,14 +91,23 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """The same replaced by a rename, after the new file is complete."""
+    """The same replaced by a rename that overwrites, after the new file is complete: a crash leaves the old or the new one."""
     fs, new = _file(spark, f"{path}.new")
     stream = fs.create(new, True)
     stream.write(json.dumps(value).encode())
     stream.close()
     _, final = _file(spark, path)
-    fs.delete(final, False)
-    fs.rename(new, final)
+    jvm = spark._jvm
+    overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(final), options)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder."""
+    fs, p = _file(spark, path)
+    return fs.exists(p)
 
 
 def remove(spark: SparkSession, path: str) -> None:
