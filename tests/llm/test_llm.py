@@ -187,30 +187,70 @@ def batch_rows():
     return rows + [("run01", "900", None, "A"), ("run05", "901", "", "A"), ("run06", "902", "Details on request.", "A"), ("run07", "903", "Details on request.", "A"), (None, "904", LONG, None), ("run03", "905", LONG + "!", None)]
 
 
-@pytest.mark.parametrize("calls", [1, 4])
-def test_history_equals_brute_force_in_any_number_of_calls(spark, calls):
+def added(spark, p, runs, path=None, **how):
+    """What an index finds in ``runs``, opened again for each."""
+    path, got = path or new_folder(spark, "h"), set()
+    for i, run in enumerate(runs):
+        index = history.HistoryIndex(spark, path, n_buckets=3, **how)
+        batch = p.filter(F.col("run") == run)
+        if not i:
+            index.fit(batch)
+        got |= {(r["run"], r["id"]) for r in index.add(batch, run).collect()}
+    return got
+
+
+@pytest.mark.parametrize("fan", [2, 16])
+def test_history_equals_brute_force_batch_by_batch(spark, fan):
     rows = batch_rows()
     df = spark.createDataFrame(rows, "run string, id string, t string, g string")
     p = history.prepare(df, F.col("run"), F.col("id"), F.col("t"), F.col("g")).cache()
-    runs = sorted({r[0] or "" for r in rows})
-    path = new_folder(spark, "h")
-    history.HistoryIndex(spark, path, n_buckets=2).fit(p)
-    got = set()
-    for c in range(calls):
-        index = history.HistoryIndex(spark, path, n_buckets=2)  # opened again for each call
-        some = runs[c * len(runs) // calls : (c + 1) * len(runs) // calls]
-        got |= {(r["run"], r["id"]) for r in index.add(p.filter(F.col("run").isin(some)), some).collect()}
-    assert got == brute(rows)
+    assert added(spark, p, sorted({r[0] or "" for r in rows}), fan=fan) == brute(rows)
 
 
 def test_history_unfitted_gives_the_same_and_refuses_disorder(spark):
     rows = batch_rows()[:60]
-    p = history.prepare(spark.createDataFrame(rows, "run string, id string, t string, g string"), F.col("run"), F.col("id"), F.col("t"), F.col("g"))
-    index = history.HistoryIndex(spark, new_folder(spark, "h"), n_buckets=2)
-    runs = sorted({r[0] for r in rows})
-    assert {(r["run"], r["id"]) for r in index.add(p, runs).collect()} == brute(rows)
+    p = history.prepare(spark.createDataFrame(rows, "run string, id string, t string, g string"), F.col("run"), F.col("id"), F.col("t"), F.col("g")).cache()
+    index, runs = history.HistoryIndex(spark, new_folder(spark, "h"), n_buckets=2), sorted({r[0] for r in rows})
+    for run in runs:
+        index.add(p.filter(F.col("run") == run), run)
+    assert {(r["run"], r["id"]) for r in index.found().collect()} == brute(rows)
     with pytest.raises(ValueError):
-        index.add(p, runs)
+        index.add(p, runs[-1])
+
+
+def test_history_settles_hot_groups_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(history, "LONG", 3)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((f"run{n // 30}", str(n), " ".join(w if n % 5 else [f"y{n}_{i}" for i in range(20)] + base[:12]), rng.choice("AB")))
+    p = history.prepare(spark.createDataFrame(rows, "run string, id string, t string, g string"), F.col("run"), F.col("id"), F.col("t"), F.col("g")).cache()
+    assert added(spark, p, ["run0", "run1", "run2"]) == brute(rows)
+
+
+def test_history_reads_for_a_batch_what_the_batch_asks_for(spark, monkeypatch):
+    monkeypatch.setattr(history, "GROUP_ROWS", dict.fromkeys(history.GROUP_ROWS, 8))
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    schema, reads = "run string, id string, t string, g string", []
+    last = [("z", "new", text(), "A"), ("z", "0-0", None, "A")]
+    for runs in (2, 8):
+        index = history.HistoryIndex(spark, new_folder(spark, "h"), n_buckets=2, fan=64, measure=True)
+        for run in [f"{i:02d}" for i in range(runs)] + ["z"]:
+            rows = last if run == "z" else [(run, f"{run}-{i}", text(), "A") for i in range(200 // runs)]
+            index.add(history.prepare(spark.createDataFrame(rows, schema), F.col("run"), F.col("id"), F.col("t"), F.col("g")), run)
+        reads.append(index.rows_read)
+    small = history.HistoryIndex(spark, new_folder(spark, "h"), n_buckets=2, measure=True)
+    for run, n in (("0", 40), ("1", 4000)):
+        small.add(history.prepare(spark.createDataFrame([(run, f"{run}-{i}", text(), "A") for i in range(n)], schema), F.col("run"), F.col("id"), F.col("t"), F.col("g")), run)
+    small.add(history.prepare(spark.createDataFrame(last, schema), F.col("run"), F.col("id"), F.col("t"), F.col("g")), "z")
+    tokens = 36 * 2 * 2
+    assert 0 < small.rows_read <= 2 * 8 * tokens
+    assert all(0 < read <= 2 * 8 * tokens * 8 for read in reads)
 
 
 # canonical titles
@@ -385,12 +425,14 @@ def test_history_finds_repeated_phrases_under_another_employer(spark):
     ]
     p = history.prepare(spark.createDataFrame(rows, "run string, id string, t string, g string"), F.col("run"), F.col("id"), F.col("t"), F.col("g"))
     assert brute(rows) == {("r2", str(i)) for i in (11, 12, 13, 14)}
-    for calls in ([["r1", "r2"]], [["r1"], ["r2"]]):
-        index, got = history.HistoryIndex(spark, new_folder(spark, "h"), n_buckets=2), set()
-        index.fit(p)
-        for some in calls:
-            got |= {(x["run"], x["id"]) for x in index.add(p.filter(F.col("run").isin(some)), some).collect()}
-        assert got == brute(rows)
+    assert added(spark, p.cache(), ["r1", "r2"]) == brute(rows)
+
+
+def test_history_tells_short_texts_from_stock_phrases(spark):
+    rows = [("r1", "1", "Great team. Apply by mail.", "Acme"), ("r1", "2", "Details on request.", "Acme"), ("r1", "3", "Ask us. Now", "Acme")]
+    rows += [("r2", i + "b", t, g) for _, i, t, g in rows]
+    p = history.prepare(spark.createDataFrame(rows, "run string, id string, t string, g string"), F.col("run"), F.col("id"), F.col("t"), F.col("g"))
+    assert added(spark, p.cache(), ["r1", "r2"]) == {("r2", "1b"), ("r2", "3b")} == brute(rows)
 
 
 def test_names_with_the_same_words_in_any_order_are_one(spark):
