@@ -23,14 +23,13 @@ from plumbline.sources.tables import table
 EDITS = 2
 #: Words of so many letters may hold two edits that aren't one swap.
 LONG = 9
+#: A word of so many letters may have two more at its end ("programme").
+STEM = 6
 #: Similarity of an abbreviation, of one that drops the word's last letter, and of a fixed spelling.
 ABBREVIATED, CLIPPED, FIXED = 0.8, 0.7, 0.98
 
-# Spellings that no rule finds.
-SPELLINGS = {
-    "programme": ["program"], "biz": ["business"], "sw": ["software"], "finance": ["financial"], "engg": ["engineer", "engineering"],
-    "fin": ["financial"], "mktg": ["marketing"], "localization": ["localisation"],
-}
+# Spellings that no rule finds; others may be given.
+SPELLINGS = {"biz": ["business"], "sw": ["software"], "finance": ["financial"], "engg": ["engineer", "engineering"]}
 _BRACKETS = re.compile(r"\[[^\]]*\]|\([^)]*\)")
 _WORD = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z][a-z])")
@@ -58,6 +57,16 @@ def abbreviates(short: str, word: str) -> bool:
     return False
 
 
+def abbreviation_keys(word: str) -> set[str]:
+    """How abbreviations of ``word`` may begin: their first three letters, or both of two."""
+    if len(word) < 3:
+        return set()
+    keys = {word[0] + word[-1]} if len(word) <= 4 else set()
+    firm = [i for i in range(1, len(word)) if word[i] not in "aeiou"]
+    keys |= {word[0] + word[i] + word[j] for i in firm for j in firm if i < j}
+    return keys | {word[:3]} | {word[:2] + word[j] for j in firm if j > 1}
+
+
 def _tokens(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -66,6 +75,14 @@ def _tokens(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([values, pa.array([tokens_of(v) for v in values.to_pylist()], pa.list_(pa.string()))], ["value", "toks"])
 
 
+def _keys(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = [(k, t) for t in batch.column(0).to_pylist() for k in sorted(abbreviation_keys(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["k", "t"])
+
+
 def _abbreviated(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -112,12 +129,12 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     swap = (F.length("s") == F.length("t")) & (F.array_sort(F.split("s", "")) == F.array_sort(F.split("t", "")))
     edits = F.when((F.col("distance") == 2) & swap, F.lit(1)).otherwise(F.col("distance"))
     near = near.withColumn("edits", edits).filter(
-        "distance > 0 and (edits <= 1 or length(t) >= %d) and length(s) >= 3" % LONG
+        f"distance > 0 and (edits <= 1 or length(t) >= {LONG} or length(t) >= {STEM} and startswith(s, t)) and length(s) >= 3"
     ).select("s", "t", (1 - F.col("edits") / F.length("t")).alias("sim"))
-    first = lambda c: F.substring(c, 1, 1)
-    short = distinct.filter("length(s) >= 2").withColumn("k", first("s")).join(
-        words.select("t").distinct().withColumn("k", first("t")), "k"
-    ).filter("length(s) < length(t)").select("s", "t").mapInArrow(_abbreviated, "s string, t string, sim double")
+    starts = words.select("t").distinct().mapInArrow(_keys, "k string, t string")
+    short = distinct.filter("length(s) >= 2").withColumn("k", F.substring("s", 1, 3)).join(starts, "k").filter(
+        "length(s) < length(t)"
+    ).select("s", "t").mapInArrow(_abbreviated, "s string, t string, sim double")
     fixed = values.sparkSession.createDataFrame([(s, t) for s, ts in SPELLINGS.items() for t in ts], "s string, t string")
     fixed = fixed.join(vocabulary, "t", "left_semi").withColumn("sim", F.lit(FIXED)).select("s", "t", "sim")
     repaired = same.union(near).union(short).union(fixed).groupBy("s", "t").agg(F.max("sim").alias("sim"))
@@ -126,7 +143,10 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     repaired = cut_lineage(repaired.withColumn("most", most).filter("sim = most").drop("most"))
 
     hits = placed.join(repaired, "s")
-    by_word = hits.join(words, "t").groupBy("sig", "ref_id", "need", "t", "idf").agg(F.max(F.struct("sim", -F.col("p"))).alias("m"))
+    # all words of an entry are needed, so its rarest one leads to it
+    rarest = words.groupBy("ref_id").agg(F.max_by("t", F.struct("idf", "t")).alias("t"))
+    likely = hits.join(rarest, "t").select("sig", "ref_id").distinct().join(words, "ref_id")
+    by_word = hits.join(likely, ["sig", "t"]).groupBy("sig", "ref_id", "need", "t", "idf").agg(F.max(F.struct("sim", -F.col("p"))).alias("m"))
     covered = by_word.groupBy("sig", "ref_id", "need").agg(
         F.count(F.lit(1)).alias("n"), (F.sum(F.col("m.sim") * F.col("idf")) / F.sum("idf")).alias("score"), F.sum("idf").alias("weight"),
         F.collect_set(F.col("m.col2")).alias("at"),

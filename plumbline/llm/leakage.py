@@ -1,11 +1,12 @@
 """Evaluation texts leaking into training text: an FM-index per training shard.
 
-Each task cuts its documents into shards, turns a shard into a sequence of word
-symbols and builds its FM-index: suffix array, Burrows-Wheeler transform, wavelet
-matrix for ranks, and suffix positions sampled at every document start and every
-few words. All phrases of the test items are then searched backwards at once, their
-occurrences located from the samples, and overlapping ones merged into spans to
-remove. No document is compared with an item outside the index.
+Each task cuts its documents into shards, turns a shard into a sequence of symbols of
+its own words and builds its FM-index once: suffix array, Burrows-Wheeler transform,
+wavelet matrix for ranks, and suffix positions sampled at every document start and
+every few words. The test items wait in the shared folder, in blocks; a block's phrases
+are searched backwards at once, their occurrences located from the samples, and
+overlapping ones merged into spans to remove. No document is compared with an item
+outside the index, and documents are read once for any number of items.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.lookalike import fold_python, fold_sql
+from plumbline.llm.segments import open_folder, qualified
+from plumbline.session import new_folder
 from plumbline.sources.tables import table
 
 WORDS = 12
@@ -39,22 +43,33 @@ def words_of(text: str | None) -> list[str]:
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """The suffix array by prefix doubling; a 0 is smaller than all else and than every later 0."""
+    """The suffix array by prefix doubling over what is still tied; a 0 is smaller than all else and than every later 0."""
     n = len(seq)
     zero = seq == 0
-    rank = seq.astype(np.int64) + int(zero.sum())
-    rank[zero] = np.arange(int(zero.sum()))
-    reach = 1
+    count = int(zero.sum())
+    rank = seq.astype(np.int64) + count + 1
+    rank[zero] = np.arange(1, count + 1)
+    # as many words as fit one number are sorted at once
+    bits = int(rank.max()).bit_length()
+    reach = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for i in range(min(reach, n)):
+        key[: n - i] |= rank[i:] << (bits * (reach - 1 - i))
+    order = np.argsort(key, kind="stable")
+    tied, place, key = order, np.arange(n), key[order]
     while True:
-        key = rank * np.int64(rank.max() + 2)
-        key[: n - reach if reach < n else 0] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[tied] = place[np.maximum.accumulate(np.where(first, np.arange(len(tied)), 0))] + 1
+        alone = first & np.concatenate([first[1:], [True]])
+        place = place[~alone]
+        if not len(place):
             return order
+        tied = order[place]
+        after = tied + reach
+        key = rank[tied] * (n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)], 0)
+        by = np.argsort(key, kind="stable")
+        tied, key = tied[by], key[by]
+        order[place] = tied
         reach *= 2
 
 
@@ -126,104 +141,141 @@ class FMIndex:
 
 
 class Phrases:
-    """All runs of ``n`` words of the items, over symbols of the items' words (1: any other word)."""
+    """All runs of ``n`` words of a block of items, over the block's own words."""
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int = WORDS):
-        self.symbols: dict[str, int] = {}
+    def __init__(self, items: list[tuple[int, list[str]]], n: int = WORDS):
+        symbols: dict[str, int] = {}
         where: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            seq = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in words_of(text)]
+        for item, words in items:
+            seq = [symbols.setdefault(w, len(symbols)) for w in words]
             for i in range(len(seq) - n + 1):
                 where.setdefault(tuple(seq[i : i + n]), set()).add(item)
-        self.n, self.sigma = n, len(self.symbols) + 2
+        self.n, self.words = n, list(symbols)
         self.table = np.array(list(where), np.int64).reshape(len(where), n)
         self.items = [sorted(x) for x in where.values()]
 
+    def within(self, symbols: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases whose words a shard has, in its symbols, and their numbers."""
+        own = np.array([symbols.get(w, 0) for w in self.words], np.int64)
+        phrases = own[self.table] if len(self.table) else self.table
+        all_there = np.flatnonzero((phrases > 0).all(axis=1))
+        return phrases[all_there], all_there
+
+
+class Shard:
+    """The FM-index of some documents over their own words."""
 
-def spans(docs: list[tuple[object, np.ndarray]], phrases: Phrases) -> Iterator[tuple[object, int, int, int]]:
-    """``(doc, item, first word, number of words)`` for the symbol sequences of one shard."""
-    parts, origin, starts, owner, size = [], [], [], [], 0
-    for k, (_, seq) in enumerate(docs):
-        # runs of words that no item has become one symbol: no phrase crosses them
-        drop = np.concatenate([[False], (seq[1:] == 1) & (seq[:-1] == 1)]) if len(seq) else np.zeros(0, bool)
-        kept = np.flatnonzero(~drop)
-        starts.append(size)
-        parts += [seq[kept], np.zeros(1, np.int64)]
-        origin.append(np.concatenate([kept, [len(seq)]]))
-        owner.append(np.full(len(kept) + 1, k))
-        size += len(kept) + 1
-    seq, place, doc = np.concatenate(parts), np.concatenate(origin), np.concatenate(owner)
-    index = FMIndex(seq, phrases.sigma, np.array(starts))
-    lo, hi = index.search(phrases.table)
-    found = np.flatnonzero(hi > lo)
-    count = (hi - lo)[found]
-    which = np.repeat(found, count)
-    first = np.repeat(np.cumsum(count) - count, count)
-    at = index.locate(np.repeat(lo[found], count) + np.arange(len(which)) - first)
-    hits = sorted({(int(doc[p]), item, int(place[p])) for p, f in zip(at, which) for item in phrases.items[f]})
-    run: list[int] | None = None
-    for d, item, p in hits:
-        if run and (d, item) == (run[0], run[1]) and p <= run[3]:
-            run[3] = p + phrases.n
-            continue
+    def __init__(self) -> None:
+        self.symbols: dict[str, int] = {}
+        self.ids: list = []
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, ident, words: list[str]) -> None:
+        put = self.symbols.setdefault
+        self.parts.append(np.array([*[put(w, len(self.symbols) + 1) for w in words], 0], np.int64))
+        self.ids.append(ident)
+        self.size += len(words) + 1
+
+    def build(self) -> None:
+        sizes = np.array([len(p) for p in self.parts])
+        self.starts = np.cumsum(sizes) - sizes
+        self.index = FMIndex(np.concatenate(self.parts), len(self.symbols) + 1, self.starts)
+
+    def spans(self, phrases: Phrases) -> Iterator[tuple[object, int, int, int]]:
+        """``(doc, item, first word, number of words)`` of all phrases found, merged where they overlap."""
+        table, number = phrases.within(self.symbols)
+        if not len(table):
+            return
+        lo, hi = self.index.search(table)
+        found = np.flatnonzero(hi > lo)
+        count = (hi - lo)[found]
+        which = np.repeat(number[found], count)
+        first = np.repeat(np.cumsum(count) - count, count)
+        at = self.index.locate(np.repeat(lo[found], count) + np.arange(len(which)) - first)
+        doc = np.searchsorted(self.starts, at, "right") - 1
+        hits = sorted({(d, item, p) for d, p, f in zip(doc.tolist(), (at - self.starts[doc]).tolist(), which.tolist()) for item in phrases.items[f]})
+        run: list[int] | None = None
+        for d, item, p in hits:
+            if run and (d, item) == (run[0], run[1]) and p <= run[3]:
+                run[3] = p + phrases.n
+                continue
+            if run:
+                yield self.ids[run[0]], run[1], run[2], run[3] - run[2]
+            run = [d, item, p, p + phrases.n]
         if run:
-            yield docs[run[0]][0], run[1], run[2], run[3] - run[2]
-        run = [d, item, p, p + phrases.n]
-    if run:
-        yield docs[run[0]][0], run[1], run[2], run[3] - run[2]
+            yield self.ids[run[0]], run[1], run[2], run[3] - run[2]
+
+
+def _write_blocks(items: DataFrame, blocks: int) -> str:
+    """The items' words in the shared folder, a sub-folder for each block; the folder's name for the tasks."""
+    spark = items.sparkSession
+    i, u = items.columns[:2]
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            words = pa.array([words_of(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], ["block", "item", "words"])
+
+    folder = new_folder(spark, "items")
+    src = items.select(F.pmod(F.xxhash64(i), F.lit(blocks)).cast("int").alias("block"), F.col(i).cast("bigint").alias("item"), F.col(u).alias("t"))
+    src.filter("item is not null and t is not null").repartition(min(blocks, 64), "block").mapInArrow(
+        cut, "block int, item bigint, words array<string>"
+    ).write.partitionBy("block").parquet(folder)
+    return qualified(spark, folder)
 
 
 def leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, shard_words: int = SHARD_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``doc_id, item_id, first_word, n_words``: the spans of ``docs`` (id, text) that hold ``n`` or more consecutive words of an item (id, text).
 
     Case, punctuation, spacing, accents and look-alike characters don't matter.
-    Null and empty texts hold nothing, items of fewer words can't leak. Words are
-    counted from 0. Items are the stated query set: they are searched in blocks of
-    ``block_items``, so what a task receives doesn't grow with their number.
+    Null and empty texts hold nothing, items of fewer words or without an id can't
+    leak. Words are counted from 0. Items are the stated query set: a task holds
+    ``block_items`` of them at a time, so what it needs doesn't grow with their number.
     """
-    spark = docs.sparkSession
     d, t = docs.columns[:2]
     src = docs.select(F.col(d).alias("id"), F.col(t).alias("t")).filter("t is not null")
     kind = src.schema["id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id bigint, first_word int, n_words int"
-    i, u = items.columns[:2]
     blocks = max(1, -(-items.count() // block_items))
-    out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64(i), F.lit(blocks)) == b).select(i, u).collect()
-        known = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in rows], n))
-
-        def run(batches: Iterator, known=known) -> Iterator:
-            import pyarrow as pa
-
-            phrases = known.value
-            if not len(phrases.table):
-                return
-            shard: list[tuple[object, np.ndarray]] = []
-            size = 0
-
-            def flush():
-                got = list(spans(shard, phrases))
-                columns = list(zip(*got)) or [(), (), (), ()]
-                kinds = [None, pa.int64(), pa.int32(), pa.int32()]
-                arrays = [pa.array(c, k) if k else pa.array(c, id_type) for c, k in zip(columns, kinds)]
-                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "first_word", "n_words"])
-
-            for batch in batches:
-                id_type = batch.column(0).type
-                for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    seq = np.array([phrases.symbols.get(w, 1) for w in words_of(text)], np.int64)
-                    if len(seq) >= phrases.n:
-                        shard.append((k, seq))
-                        size += len(seq)
-                    if size >= shard_words:
-                        yield flush()
-                        shard, size = [], 0
-            if shard:
-                yield flush()
-
-        out = out.unionByName(src.mapInArrow(run, schema))
-    return out
+    uri = _write_blocks(items, blocks)
+
+    def read(b: int) -> Phrases:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, root = open_folder(uri)
+        named = [f.path for f in files.get_file_info(fs.FileSelector(f"{root}/block={b}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        rows = [pq.read_table(p, filesystem=files, columns=["item", "words"], partitioning=None) for p in named]
+        return Phrases([(i, w) for r in rows for i, w in zip(r["item"].to_pylist(), r["words"].to_pylist())], n)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        block = lru_cache(maxsize=4)(read)
+
+        def flush(shard: Shard, id_type) -> Iterator:
+            shard.build()
+            for b in range(blocks):
+                columns = list(zip(*shard.spans(block(b)))) or [(), (), (), ()]
+                arrays = [pa.array(c, k) for c, k in zip(columns, (id_type, pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "first_word", "n_words"])
+
+        shard = Shard()
+        for batch in batches:
+            id_type = batch.column(0).type
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                if len(words) >= n:
+                    shard.add(k, words)
+                if shard.size >= shard_words:
+                    yield from flush(shard, id_type)
+                    shard = Shard()
+        if shard.ids:
+            yield from flush(shard, id_type)
+
+    return src.mapInArrow(run, f"doc_id {kind}, item_id bigint, first_word int, n_words int")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from plumbline.session import cut_lineage
 from plumbline.sources.tables import table
 
-# Letters that look like the Latin letter below them.
-LOOK_FROM = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝёЁїЇΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ"
-LOOK_INTO = "ABESIJKMHOPCTYXaeopcyxsijhdqwëËïÏABEZHIKMNOPTYXocj"
+# Letters that look like the Latin letter below them; Cyrillic, Greek, Armenian, Cherokee, phonetic.
+LOOK_FROM = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝҮӀԌԚԜѴѵӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳν" "օսհց" "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ" "ɑɡ"
+LOOK_INTO = "ABESIJKMHOPCTYXaeopcyxsijhdqwYIGQWVvl" "ABEZHIKMNOPTYXocjv" "ouhg" "ABCDEGHJKLMPRSTVWZ" "ag"
 # Spaces that show as a space, hyphens that show as a hyphen.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HYPHENS = "\u2010\u2011"
@@ -31,40 +31,84 @@ INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}\x{200E}\x{200F}\x{202A}-
 VIRAMAS = r"\x{094D}\x{09CD}\x{0A4D}\x{0ACD}\x{0B4D}\x{0BCD}\x{0C4D}\x{0CCD}\x{0D4D}"
 
 
-def _compatible() -> tuple[dict[str, str], dict[str, str]]:
-    """Wide and half-width forms, ligatures and letter pairs: those of one character, those of more."""
-    one, more = {}, {}
-    for block in (range(0xFF01, 0xFFE7), range(0xFB00, 0xFB07), range(0x2160, 0x2180), range(0x132, 0x134)):
-        for char in map(chr, block):
-            plain = unicodedata.normalize("NFKC", char)
-            if plain != char:
-                (one if len(plain) == 1 else more)[char] = plain
-    one.update({"\uff9e": "\u3099", "\uff9f": "\u309a"})  # sound marks that compose with the sign before them
-    return one, more
+#: What a compatibility form is called in the Unicode data if it looks like its plain form: width, font, place in a word.
+SHOWN_ALIKE = {"<wide>", "<narrow>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>"}
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """What each character is replaced by: everyday characters, further single ones, and those that become several.
+
+    All but the look-alike letters comes from the Unicode data: compatibility forms of
+    the kinds ``SHOWN_ALIKE``, ligatures and numerals made of letters, and accented
+    look-alike letters as their Latin letter with the same accents. Superscripts,
+    fractions, circled and squared signs read differently and stay.
+    """
+    look = dict(zip(LOOK_FROM, LOOK_INTO))
+    common, rare, more = look | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-"), {}, {}
+    for code in [*range(0xA0, 0xD800), *range(0xF900, 0x20000)]:
+        char = chr(code)
+        kind, _, _ = unicodedata.decomposition(char).partition(" ")
+        if not kind or char in common:
+            continue
+        plain = unicodedata.normalize("NFKC", char)
+        if not kind.startswith("<"):
+            parts = unicodedata.normalize("NFD", char)
+            plain = unicodedata.normalize("NFC", look.get(parts[0], parts[0]) + parts[1:])
+            fits = parts[0] in look
+        elif kind == "<compat>":
+            letters = unicodedata.category(char)[0] == "L" and len(plain) > 1 or unicodedata.category(char) == "Nl"
+            fits = letters and all(unicodedata.category(c)[0] in "LM" for c in plain) and unicodedata.category(plain[0])[0] == "L"
+        else:
+            fits = kind in SHOWN_ALIKE
+        if fits and plain != char:
+            if len(plain) == 1:
+                (common if 0xFF00 <= code < 0xFFF0 or not kind.startswith("<") else rare)[char] = plain
+            elif kind == "<compat>" or not kind.startswith("<"):
+                more[char] = plain
+    common.update({"\uff9e": "\u3099", "\uff9f": "\u309a"})  # sound marks that compose with the sign before them
+    return common, rare, more
+
+
+def _class(chars) -> str:
+    """A regular expression for any of some characters."""
+    codes, spans = sorted(map(ord, chars)), []
+    for c in codes:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
 
 
 def fold_sql(column: str) -> str:
     """The SQL expression that folds ``column``."""
-    one, more = _compatible()
-    one |= dict(zip(LOOK_FROM, LOOK_INTO)) | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-")
+    common, rare, more = _tables()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    mapped = lambda t, m: f"translate({t}, {quote(''.join(m))}, {quote(''.join(m.values()))})"
+    look = dict(zip(LOOK_FROM, LOOK_INTO))
     text = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
     text = f"regexp_replace({text}, '(^|[^{VIRAMAS}])\\x{{200C}}+', '\\1', 'g')"
     text = f"regexp_replace({text}, '(^|[\\p{{L}}\\p{{N}}\\p{{P}}\\p{{Z}}\\s])\\x{{200D}}+', '\\1', 'g')"
     text = f"replace({text}, chr(13) || chr(10), chr(10))"
-    text = f"translate(nfc_normalize({text}), {quote(''.join(one))}, {quote(''.join(one.values()))})"
+    # a look-alike letter before its accents compose, and the composed ones
+    text = mapped(f"nfc_normalize({mapped(text, look)})", common)
+    special = text
     for char, plain in more.items():
-        text = f"replace({text}, {quote(char)}, {quote(plain)})"
-    return f"nfc_normalize({text})"
+        special = f"replace({special}, {quote(char)}, {quote(plain)})"
+    special = mapped(special, rare)
+    text = f"CASE WHEN regexp_matches({column}, '{_class([*rare, *more])}') THEN {special} ELSE {text} END"
+    # most texts are plain: they are left alone
+    return f"CASE WHEN regexp_full_match({column}, '[\\x00-\\x0C\\x0E-\\x7F]*') THEN {column} ELSE nfc_normalize({text}) END"
 
 
 @lru_cache(maxsize=1)
-def _python_tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
-    one, more = _compatible()
-    one |= more | dict(zip(LOOK_FROM, LOOK_INTO)) | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-")
+def _python_tables() -> tuple[dict[int, str], dict[int, str], re.Pattern, re.Pattern, re.Pattern]:
+    common, rare, more = _tables()
     plain = lambda p: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: "\\u" + m[1], p)
     return (
-        {ord(a): b for a, b in one.items()},
+        {ord(a): b for a, b in zip(LOOK_FROM, LOOK_INTO)},
+        {ord(a): b for a, b in (more | rare | common).items()},
         re.compile(plain(INVISIBLE)),
         re.compile(f"(^|[^{plain(VIRAMAS)}])\u200c+"),
         re.compile("(^|[\\w\\s])\u200d+"),
@@ -75,9 +119,9 @@ def fold_python(text: str) -> str:
     """The same form for operators that hold a text in Python already."""
     if text.isascii():
         return text.replace("\r\n", "\n")
-    chars, invisible, disjoiner, joiner = _python_tables()
+    look, chars, invisible, disjoiner, joiner = _python_tables()
     text = joiner.sub(r"\1", disjoiner.sub(r"\1", invisible.sub("", text))).replace("\r\n", "\n")
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(chars))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text.translate(look)).translate(chars))
 
 
 def _run(batches: Iterator, query: str) -> Iterator:
@@ -138,8 +182,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_folded(spark: SparkSession, folder: str) -> DataFrame:
-    """The digest of each text in its one form."""
-    return fold_text(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", F.md5("folded").alias("digest"))
+    """Each text in its one form."""
+    return fold_text(table(spark, folder, "documents"), "doc_id", "text")
 
 
 QUERIES = {"p10_found": p10_found, "p10_folded": p10_folded}
@@ -151,5 +195,5 @@ SQL = {
         g AS (SELECT * FROM f WHERE NOT regexp_full_match(folded, '[\\s\\p{{Z}}]*'))
         SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b
         ON a.folded = b.folded AND a.doc_id < b.doc_id AND a.text <> b.text""",
-    "p10_folded": f"SELECT doc_id, md5({_F}) AS digest FROM documents",
+    "p10_folded": f"SELECT doc_id, {_F} AS folded FROM documents",
 }

@@ -1,9 +1,10 @@
 """Text cut off by field limits: a structural completeness check against each source's own habits.
 
-A stack automaton walks the brackets, quotes, markup, entities and escapes of a text
+A stack automaton walks the brackets, quotes, elements, entities and escapes of a text
 and says what is still open at its end; further marks are a broken multibyte
 sequence, a continuation mark, and a missing terminator. What these mean depends on
-the source, so three baselines are counted over all records:
+the source, so three baselines are counted over all records, in the same pass over
+the texts:
 
 * lengths, in characters and in bytes, at which a source's texts pile up;
 * endings with an ellipsis that are a house phrase, not a cut;
@@ -39,38 +40,90 @@ BLANKLESS = r"(?U)\S"
 # Marks that say the text goes on elsewhere.
 CONTINUED = re.compile(r"(?:\((?:cont\.?|continued|more)\)|\[(?:more|cont\.?|\.\.\.|…)\]|(?:…|\.\.\.)?\s*(?:read|see|show) more)$", re.I)
 ELLIPSIS = re.compile(r"(?:…|\.\.\.)$")
-TERMINATED = re.compile(r"[.!?。！？।؟][\"'”’»)\]]*$")
+ENDS, CLOSERS = ".!?。！？।؟", "\"'”’»)]"
 _BREAK = re.compile(r"(?<=[.!?。！？।])[\"'”’»)\]]*\s+|[\r\n]+|\s+[•—]\s+|\s{2,}")
-_STRUCTURE = re.compile(r"[()\[\]{}“”«»\"]|<[A-Za-z/!]|>|\\")
-_OPEN_ENTITY = re.compile(r"&(?:#\w{0,6}|[A-Za-z]{0,7})$")
-_CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", ">": "<"}
+_STRUCTURE = re.compile(r"[()\[\]{}“”«»\"]|</?[A-Za-z][^\s<>/]*|<!--|-->|/>|>")
+# an entity's name, unless it is one or two capitals: "R&D"
+_OPEN_ENTITY = re.compile(r"&(?:#\w{0,6}|[a-z][A-Za-z]{0,6}|[A-Z][a-z]{2,6})?$")
+_OPEN_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:u[0-9A-Fa-f]{0,3}|U[0-9A-Fa-f]{0,7}|x[0-9A-Fa-f]?)?$")
+_CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+# Elements that have no end tag, and those whose end tag may be left out.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+OPTIONAL = frozenset("p li dt dd option tr td th thead tbody tfoot colgroup html head body".split())
+_WHOLE_BYTES = re.compile("[\u00c2-\u00df][\u0080-\u00bf]|[\u00e0-\u00ef][\u0080-\u00bf]{2}|\u00e2\u20ac.")
+_LEAD = re.compile("(?:[\u00c2-\u00f4]|[\u00e0-\u00f4][\u0080-\u00bf]|[\u00f0-\u00f4][\u0080-\u00bf]{2}|\u00e2\u20ac)$")
+
+
+def broken_end(text: str) -> bool:
+    """Whether a text ends within a multibyte character: as a replacement sign, or as the first bytes of one read as Latin-1.
+
+    A single accented letter at the end is such a byte as well; it counts only where
+    the text shows other bytes read so, or as a capital within a small word.
+    """
+    if text.endswith("\ufffd"):
+        return True
+    m = _LEAD.search(text)
+    if not m:
+        return False
+    if len(m[0]) > 1 or m[0] in "\u00c2\u00c3" and text[m.start() - 1 : m.start()].islower():
+        return True
+    return bool(_WHOLE_BYTES.search(text, 0, m.start()))
 
 
 def still_open(text: str) -> str:
-    """What is open at the end of ``text``: the automaton's stack, ``&`` for an unfinished entity, ``\\`` for an unfinished escape, ``?`` for a broken character."""
+    """What is open at the end of ``text``: the automaton's stack, where ``<`` is an unfinished tag, then ``E`` for open elements, ``&`` for an unfinished entity, ``\\`` for an unfinished escape, ``?`` for a broken character."""
     stack: list[str] = []
     for m in _STRUCTURE.finditer(text):
         mark = m[0]
-        if mark == "\\":
-            continue
-        if mark == '"':
+        top = stack[-1] if stack else ""
+        if top == "<!--":
+            if mark == "-->":
+                stack.pop()
+        elif top[:1] == "<" and top[1:2] != ">":
+            # within a tag only its end counts
+            if mark == ">":
+                stack.pop()
+                name = top.lstrip("</").casefold()
+                if top[1] != "/":
+                    if name not in VOID and name not in OPTIONAL:
+                        stack.append("<>" + name)
+                elif "<>" + name in stack:
+                    # an end tag closes what was left open within its element
+                    del stack[len(stack) - 1 - stack[::-1].index("<>" + name) :]
+            elif mark == "/>":
+                stack.pop()
+        elif mark[0] == "<":
+            stack.append(mark)
+        elif mark == '"':
             # a straight quote closes one that is open, an inch sign after a digit is none
-            if stack and stack[-1] == '"':
+            if top == '"':
                 stack.pop()
             elif not text[: m.start()][-1:].isdigit():
                 stack.append('"')
         elif mark in _CLOSES:
-            if stack and stack[-1] == _CLOSES[mark]:
+            if top == _CLOSES[mark]:
                 stack.pop()
-        else:
-            stack.append(mark[0])
+        elif mark in "([{“«":
+            stack.append(mark)
     end = text.rstrip()
-    tail = "&" if _OPEN_ENTITY.search(end) else ""
-    if (len(end) - len(end.rstrip("\\"))) % 2:
+    tail = "E" if any(x[:2] == "<>" for x in stack) else ""
+    if _OPEN_ENTITY.search(end, max(0, len(end) - 9)):
+        tail += "&"
+    if "\\" in end[-9:] and _OPEN_ESCAPE.search(end):
         tail += "\\"
-    if end.endswith("�"):
+    if broken_end(end):
         tail += "?"
-    return "".join(stack) + tail
+    return "".join(x[0] for x in stack if x[:2] != "<>") + tail
+
+
+def terminated(segment: str) -> bool:
+    """Whether a sentence has its terminator, before closing quotes and brackets."""
+    return segment.rstrip(CLOSERS)[-1:] in ENDS and segment.rstrip(CLOSERS) != ""
+
+
+def _short(text: str) -> str:
+    """``text``, or a hash of it where it is long; different texts stay different."""
+    return text if len(text) <= 40 else hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
 def _shape(segment: str) -> str:
@@ -82,7 +135,7 @@ def _shape(segment: str) -> str:
 
 def _head(word: str) -> str:
     """The opening of a sentence: its first word, or ``#`` for a tag."""
-    return "#" if word.startswith("#") else word.casefold()[:40]
+    return "#" if word.startswith("#") else _short(word.casefold())
 
 
 def segments(text: str) -> list[str]:
@@ -90,38 +143,37 @@ def segments(text: str) -> list[str]:
     return [s for s in (p.strip().lstrip("•—- \t\xa0") for p in _BREAK.split(text)) if s]
 
 
+NAMES = ("row", "source", "chars", "bytes", "open", "mark", "phrase", "ended", "head", "shape", "n")
+
+
 def _features(batches: Iterator) -> Iterator:
+    """A row for each text, and one without ``chars`` for each source, opening and whether it was terminated, with its number ``n`` in the batch."""
     import pyarrow as pa
 
-    names = ["row", "source", "chars", "bytes", "open", "mark", "phrase", "ended", "head", "shape"]
     for batch in batches:
+        rows: list = []
+        seen: Counter = Counter()
         out = []
-        for row, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for at, (source, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
             end = text.rstrip()
-            last = (segments(end) or [""])[-1]
+            last = ""
+            for last in segments(text):
+                seen[source, last.split(" ", 1)[0], terminated(last)] += 1
             mark = "continued" if CONTINUED.search(end) else "ellipsis" if ELLIPSIS.search(end) else None
-            phrase = " ".join(end.casefold().split()[-3:])[-60:] if mark == "ellipsis" else None
+            phrase = _short(" ".join(end.casefold().rsplit(None, 3)[-3:])) if mark == "ellipsis" else None
+            rows.append(at)
             out.append((
-                row, source, len(text), len(text.encode("utf-8")), still_open(text), mark, phrase,
-                bool(TERMINATED.search(end)), _head(last.split(" ")[0]), _shape(last),
+                source, len(text), len(text.encode("utf-8", "surrogatepass")), still_open(text), mark, phrase,
+                terminated(end), _head(last.split(" ", 1)[0]), _shape(last), 1,
             ))
-        kinds = [batch.column(0).type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
-        columns = list(zip(*out)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-
-def _openings(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        seen: Counter = Counter()
-        for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for s in segments(text):
-                seen[source, _head(s.split(" ")[0]), bool(TERMINATED.search(s))] += 1
-        rows = [(*k, n) for k, n in seen.items()]
-        columns = list(zip(*rows)) or [()] * 4
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "head", "ended", "n"])
+        heads: Counter = Counter()
+        for (source, word, ended), n in seen.items():
+            heads[source, _head(word), ended] += n
+        out += [(source, None, None, None, None, None, ended, head, None, n) for (source, head, ended), n in heads.items()]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
+        columns = list(zip(*out)) or [()] * len(kinds)
+        keys = batch.column(0).take(pa.array([*rows, *[None] * len(heads)], pa.int64()))
+        yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(columns, kinds))], list(NAMES))
 
 
 def _limits(feats: DataFrame, unit: str) -> DataFrame:
@@ -146,12 +198,12 @@ def cut_texts(df: DataFrame, row: Column, source: Column, text: Column) -> DataF
     src = df.select(row.alias("row"), F.coalesce(source, F.lit("")).alias("source"), text.alias("t"))
     filled = src.filter(F.coalesce(F.col("t").rlike(BLANKLESS), F.lit(False)))
     kind = src.schema["row"].dataType.simpleString()
-    feats = cut_lineage(filled.mapInArrow(
+    parsed = cut_lineage(filled.mapInArrow(
         _features,
-        f"row {kind}, source string, chars int, bytes int, open string, mark string, phrase string, ended boolean, head string, shape string",
+        f"row {kind}, source string, chars int, bytes int, open string, mark string, phrase string, ended boolean, head string, shape string, n bigint",
     ))
-    heads = filled.select("source", "t").mapInArrow(_openings, "source string, head string, ended boolean, n bigint")
-    heads = cut_lineage(heads.groupBy("source", "head").agg(
+    feats = parsed.filter("chars is not null").drop("n")
+    heads = cut_lineage(parsed.filter("chars is null").groupBy("source", "head").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("ended"), F.col("n")).otherwise(0)).alias("t")
     ))
     everywhere = heads.groupBy("head").agg((F.sum("t") / F.sum("n")).alias("rate"))
@@ -167,8 +219,8 @@ def cut_texts(df: DataFrame, row: Column, source: Column, text: Column) -> DataF
         (F.col("n") >= F.lit(HOUSE * total)) & (F.col("n") >= 3)
         & ((F.col("sources") >= 2) | (F.col("n") >= 5) & (F.col("spread") > SPREAD))
     ).select("phrase", F.lit(True).alias("house"))
-    plain = feats.filter("mark is null and not ended").groupBy("head", "shape").agg(F.count(F.lit(1)).alias("n"))
-    usual = plain.withColumn("all", F.sum("n").over(Window.partitionBy("head"))).filter(
+    plain = cut_lineage(feats.filter("mark is null and not ended").groupBy("head", "shape").agg(F.count(F.lit(1)).alias("n")))
+    usual = plain.join(plain.groupBy("head").agg(F.sum("n").alias("all")), "head").filter(
         F.col("n") >= F.lit(USUAL) * F.col("all")
     ).select("head", "shape", F.lit(True).alias("usual"))
 
@@ -186,7 +238,7 @@ def cut_texts(df: DataFrame, row: Column, source: Column, text: Column) -> DataF
     verdict = (
         (F.col("mark") == "continued")
         | ((F.col("mark") == "ellipsis") & F.col("house").isNull())
-        | F.col("open").rlike(r"[&\\?<]$")
+        | F.col("open").rlike(r"[E&\\?<]$")
         | F.col("mark").isNull() & (
             at_limit & (unended | all_cut) | unended & (~natural | (F.col("open") != ""))
         )

@@ -272,12 +272,35 @@ def test_titles(spark):
     assert canonical.map_values(df.filter("false"), ref).count() == 0
 
 
+def test_every_abbreviation_has_its_key():
+    rng = random.Random(12)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcdeiorst") for _ in range(rng.randrange(2, 10)))
+        cut = rng.randrange(1, len(word))
+        short = word[:cut] + "".join(c for c in word[cut:] if c not in "aeiou" and rng.random() < 0.5)
+        if canonical.abbreviates(short, word):
+            assert short[:3] in canonical.abbreviation_keys(word), (short, word)
+
+
 # truncation
 
 def test_structure_left_open():
     assert truncation.still_open('he said "yes" (really)') == ""
     assert truncation.still_open("a (b [c") == "([" and truncation.still_open("x &am") == "&" and truncation.still_open("x\\") == "\\"
-    assert truncation.still_open("caf�") == "?" and truncation.still_open("<b>x</b") == "<" and truncation.still_open('a 5" board') == ""
+    assert truncation.still_open("caf�") == "?" and truncation.still_open('a 5" board') == ""
+
+
+OPEN = {
+    "<ul><li>one</li><li>two": "E", "<b>bold text": "E", "<b>x</b": "<E", "<p>one<p>two": "", "<ul><li>one<li>two</ul> end.": "", "a <br> b <img src='x'> c": "",
+    "<b>x</b>": "", "<i>a <b>c</i>": "", "x <!-- a <b> -->": "", "x <!-- a": "<", '<a href="x': "<", '<a href="x > y': "E", "<a/> b": "", "3 < 4 and 5 > 2": "",
+    "x \\u00": "\\", "x \\u00e9": "", "x \\x4": "\\", "x \\\\": "", "x \\\\\\": "\\", "cafÃ": "?", "CAFÃ": "", "donâ€": "?", "café": "", "thé": "", "crÃ¨me brÃ»lÃ©e Ã": "?", "Bogotá": "",
+    "&amp": "&", "&amp;": "", "R&D": "", "x &": "&", "x &#82": "&",
+}
+
+
+@pytest.mark.parametrize("text", OPEN)
+def test_automaton_knows_elements_escapes_and_bytes(text):
+    assert truncation.still_open(text) == OPEN[text]
 
 
 def test_truncation_learns_each_source(spark):
@@ -365,8 +388,9 @@ def test_leaks_equal_brute_force(spark):
     docs = spark.createDataFrame(leak_docs(), "doc_id bigint, text string")
     items_df = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     for shard, block in ((400_000, 2000), (30, 1)):
-        got = leakage.leaks(docs, items_df, shard_words=shard, block_items=block).select("doc_id", "item_id").distinct().collect()
-        assert {(r[0], r[1]) for r in got} == want
+        found = leakage.leaks(docs, items_df, shard_words=shard, block_items=block)
+        assert {(r[0], r[1]) for r in found.select("doc_id", "item_id").distinct().collect()} == want
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1, "one pass for any number of items"
     assert (0, 1) in want and (1, 1) not in want and {d for d, _ in want} >= {0, 2, 6, 7, 8, 9, 77}
     assert leakage.leaks(docs.filter("false"), items_df).count() == 0
     assert leakage.leaks(docs, items_df.filter("false")).count() == 0
@@ -377,6 +401,16 @@ def test_spans_merge_and_point_at_words(spark):
     assert [(r["doc_id"], r["first_word"], r["n_words"]) for r in got] == [(0, 3, 12), (2, 0, 20), (2, 21, 15)]
 
 
+def test_suffix_array_equals_sorting():
+    rng = np.random.default_rng(10)
+    for sigma, n in ((2, 400), (50, 500), (3, 1), (100_000, 300)):
+        seq = rng.integers(1, sigma, n) if sigma > 2 else np.ones(n, np.int64)
+        seq[n // 2] = seq[-1] = 0
+        zeros = np.flatnonzero(seq == 0).tolist()
+        key = lambda i: [(0, zeros.index(j)) if seq[j] == 0 else (1, int(seq[j])) for j in range(i, n)]
+        assert leakage.suffix_array(seq).tolist() == sorted(range(n), key=key)
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(6)
     seq = rng.integers(1, 5, 3000)
@@ -396,7 +430,7 @@ def test_fold(spark):
     same = [
         ("Paper", "Рареr"), ("café", "café"), ("a b", "a b"), ("Ｐａｙ １２", "Pay 12"), ("profile", "proﬁle"), ("ad­min​", "admin"), ("x\r\ny", "x\ny"), ("non‑stop", "non-stop"), ("ё", "ё"), ("ｶﾞ", "ガ"),
     ]
-    other = [("m2", "m²"), ("a", "A"), ("cafe", "café"), ("1", "l"), ("a  b", "a b"), ("👩‍💻", "👩💻"), ("क्‍ष", "क्ष"), ("й", "и"), ("1/2", "½")]
+    other = [("m2", "m²"), ("a", "A"), ("cafe", "café"), ("1", "l"), ("a  b", "a b"), ("👩‍💻", "👩💻"), ("क्‍ष", "क्ष"), ("й", "и"), ("1/2", "½"), ("1", "①"), ("s", "ſ"), ("kg", "㎏"), ("x\u2026", "x...")]
     rows = [(i, t) for i, t in enumerate(t for p in same + other for t in p)] + [(900, None), (901, ""), (902, " \n")]
     got = {r["id"]: r["folded"] for r in lookalike.fold_text(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
     for i, p in enumerate(same + other):
