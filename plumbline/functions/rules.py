@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import norm_title
@@ -33,6 +35,30 @@ def override(rules: Sequence[Rule], changes: Mapping[str, Mapping[str, object]],
     return [r for r in [*out, *added] if r.enabled]
 
 
+def from_config(config: Mapping[str, object]) -> list[Rule]:
+    """The enabled rules of a configuration: ``roles`` with ``role``, ``match``, ``exclude``, ``overlap_group``, ``priority``, ``enabled``.
+
+    A pattern that doesn't compile or a role without patterns is an error that names the role.
+    """
+    out = []
+    for r in config.get("roles", []):
+        name = r["role"]
+        if not r.get("match"):
+            raise ValueError(f"role {name!r} has no pattern")
+        for p in [*r["match"], *r.get("exclude", [])]:
+            try:
+                re.compile(p)
+            except re.error as e:
+                raise ValueError(f"role {name!r}: {p!r}: {e}") from e
+        out.append(Rule(name, tuple(r["match"]), tuple(r.get("exclude", ())), r.get("overlap_group"), int(r.get("priority", 0)), bool(r.get("enabled", True))))
+    return [r for r in out if r.enabled]
+
+
+def load(spark: SparkSession, path: str) -> list[Rule]:
+    """The rules of one JSON file, wherever Spark can read it."""
+    return from_config(json.loads(spark.read.option("wholetext", "true").text(path).first()[0]))
+
+
 def _any(c: Column, patterns: Sequence[str]) -> Column:
     return c.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
@@ -87,6 +113,7 @@ TITLE_RULES = (
     Rule("Project Manager", (r"\bproject manager\b", r"\bprj m(n)?gr\b"), ()),
     Rule("Product Manager", (r"\bproduct manager\b",), ()),
     Rule("Scrum Master", (r"\bscrum ?master\b",), ()),
+    Rule("Quality Engineer", (r"\bquality engineer\b",), (r"\b(software|test(ing)?|automation)\b",)),
     Rule("UX Designer", (r"\bui ux designer\b", r"\bux designer\b"), ()),
     Rule("Financial Analyst", (r"\bfinancial analyst\b", r"\bfp a analyst\b"), ()),
 )

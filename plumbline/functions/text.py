@@ -126,3 +126,14 @@ def redact(c: Column, names: Sequence[str] = ("app_id", "app_key", "api_key", "t
 def is_missing(c: Column) -> Column:
     """Null or blank."""
     return c.isNull() | (F.trim(c) == "")
+
+
+def python_literal(c: Column, schema: str) -> Column:
+    """A dict typed as a Python literal (single quotes, ``None``, ``True``, ``False``) as a struct; null where it isn't one.
+
+    Only bare words are rewritten, those after a sign of the literal and before the next one.
+    """
+    bare = r"((?:^|[,:\[{(])\s*)(?:%s)(?=\s*(?:[,\]}:)]|$))"
+    for word, plain in (("None", "null"), ("True", "true"), ("False", "false")):
+        c = F.regexp_replace(c, bare % word, f"$1{plain}")
+    return F.from_json(c, schema, {"allowSingleQuotes": "true"})

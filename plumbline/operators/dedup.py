@@ -87,17 +87,21 @@ def first_seen(df: DataFrame, ident: str, key: Sequence[str], order: Sequence[Co
 
 def cap_flag(df: DataFrame, group: str, member: str, share: float, order: Sequence[Column]) -> DataFrame:
     """``df`` with ``cap``, ``member_rank`` and ``within_cap``: at most ``max(1, floor(share * rows of the group))`` rows of a member; null and blank members are never capped."""
-    cap = F.greatest(F.lit(1), F.floor(F.lit(share) * F.count(F.lit(1)).over(Window.partitionBy(group))))
+    size = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    x = df.join(size, F.col(group).eqNullSafe(F.col("_g")))
     rank = F.row_number().over(Window.partitionBy(group, member).orderBy(*order))
-    x = df.withColumn("cap", cap.cast("int")).withColumn("member_rank", rank)
-    return x.withColumn("within_cap", F.coalesce(F.trim(member) == "", F.lit(True)) | (F.col("member_rank") <= F.col("cap")))
+    x = x.withColumn("cap", F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("_n"))).cast("int")).withColumn("member_rank", rank)
+    return x.withColumn("within_cap", F.coalesce(F.trim(member) == "", F.lit(True)) | (F.col("member_rank") <= F.col("cap"))).drop("_g", "_n")
 
 
 def duplicated(df: DataFrame, keys: Sequence[Sequence[str]], order: Sequence[Column], out: str = "duplicate") -> DataFrame:
     """``df`` with whether any of ``keys`` was seen before under ``order``; nulls are equal to each other."""
     flag = F.lit(False)
+    kinds = dict(df.dtypes)
     for k in keys:
-        flag = flag | (F.row_number().over(Window.partitionBy(*k).orderBy(*order)) > 1)
+        # long texts are shuffled and compared as digests
+        by = [F.sha2(c, 256) if kinds.get(c) == "string" else F.col(c) for c in k]
+        flag = flag | (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) > 1)
     return df.withColumn(out, flag)
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 
 def student_p(t: float, df: float) -> float:
     """The two-sided p-value of a t statistic, by the incomplete beta function's continued fraction."""
@@ -93,14 +95,55 @@ def clustered_ols(df: DataFrame, cluster: str, inputs: Sequence[str], truth: str
 
 
 def premiums(df: DataFrame, cluster: str, flags: Sequence[str], controls: Sequence[str], truth: str, least: int = 25) -> DataFrame:
-    """``term, premium, se, p, n``: ``exp(beta) - 1`` of each flag on its own beside the controls, with at least ``least`` rows on both sides."""
-    support = df.agg(*[F.sum(F.col(f).cast("int")).alias(f) for f in flags], F.count(F.lit(1)).alias("_n")).first()
+    """``term, premium, se, p, n``: ``exp(beta) - 1`` of each flag on its own beside the controls, with at least ``least`` rows on both sides.
+
+    All flags come from one aggregation to clusters: the controls' cross products and,
+    for each flag, its products with itself, the controls and the outcome. A second
+    aggregate over the clusters gives every flag's clustered variance. Rows with a null
+    control or outcome are left out; a null flag counts as not set.
+    """
+    num = lambda c: F.col(c).cast("double")
+    whole = df.filter(" and ".join(f"`{c}` is not null and not isnan(cast(`{c}` as double))" for c in [*controls, truth]))
+    head = whole.agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.coalesce(num(f), F.lit(0.0))).alias(f"_f{i}") for i, f in enumerate(flags)],
+        *[F.avg(num(c)).alias(f"_c{i}") for i, c in enumerate(controls)],
+    ).first()  # one row
+    n, k = head["_n"], len(controls)
+    tested = [f for i, f in enumerate(flags) if least <= (head[f"_f{i}"] or 0) <= n - least]
+    if not tested:
+        return df.sparkSession.createDataFrame([], "term string, premium double, se double, p double, n int")
+    # the intercept and the centred controls, then the outcome; a flag's products with all of these and with itself
+    base = [F.lit(1.0), *[num(c) - F.lit(head[f"_c{i}"]) for i, c in enumerate(controls)]]
+    x = whole.select(cluster, *[c.alias(f"x{i}") for i, c in enumerate(base)], num(truth).alias("y"), *[F.coalesce(num(f), F.lit(0.0)).alias(f"d{i}") for i, f in enumerate(tested)])
+    names = [f"x{i}" for i in range(k + 1)] + ["y"]
+    sums = {f"{a}_{b}": F.col(a) * F.col(b) for i, a in enumerate(names[:-1]) for b in names[i:]}
+    for i in range(len(tested)):
+        sums |= {f"d{i}_{b}": F.col(f"d{i}") * F.col(b) for b in [*names, f"d{i}"]}
+    g = cut_lineage(x.groupBy(cluster).agg(*[F.sum(v).alias(c) for c, v in sums.items()]))
+    total = g.agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("_g")).first()  # one row
+    cell = lambda a, b: f"{a}_{b}" if f"{a}_{b}" in sums else f"{b}_{a}"
+    fits, spread = [], []
+    for i in range(len(tested)):
+        cols = [f"d{i}", *names[:-1]]
+        xx = np.array([[total[cell(a, b)] for b in cols] for a in cols], float)
+        inv = np.linalg.pinv(xx)
+        beta = inv @ np.array([total[cell(a, "y")] for a in cols], float)
+        # a cluster's share of the flag's coefficient: its scores weighted by the flag's row of the inverse
+        part = F.lit(0.0)
+        for w, a in zip(inv[0], cols):
+            score = F.col(cell(a, "y"))
+            for b, v in zip(cols, beta):
+                score = score - F.col(cell(a, b)) * F.lit(float(v))
+            part = part + score * F.lit(float(w))
+        fits.append(float(beta[0]))
+        spread.append(F.sum(part * part).alias(f"v{i}"))
+    var, clusters, width = g.agg(*spread).first(), total["_g"], k + 2  # one row
+    scale = clusters / (clusters - 1) * (n - 1) / (n - width) if clusters > 1 and n > width else 1.0
     rows = []
-    for f in flags:
-        on = support[f] or 0
-        if least <= on <= support["_n"] - least:
-            fit = clustered_ols(df, cluster, [f, *controls], truth).set_index("term").loc[f]
-            rows.append((f, math.exp(fit["beta"]) - 1, float(fit["se"]), float(fit["p"]), int(on)))
+    for i, f in enumerate(tested):
+        se = math.sqrt(max(var[f"v{i}"] * scale, 0.0))
+        p = student_p(fits[i] / se, clusters - 1) if se > 0 else float("nan")
+        rows.append((f, math.exp(fits[i]) - 1, se, p, int(head[f"_f{list(flags).index(f)}"])))
     return df.sparkSession.createDataFrame(rows, "term string, premium double, se double, p double, n int")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.windows import prefix_sums
+from plumbline.session import cut_lineage
 
 #: Rows that a driver-side fit may take at most: a bounded, seeded sample of labelled rows.
 FIT_ROWS = 100_000
@@ -171,8 +172,8 @@ def preprocessor(numbers: Sequence[str], categories: Sequence[str], arrays: Sequ
 
 
 def out_of_fold(df: DataFrame, fold: str, k: int, make: Callable[[], Estimator], keep: Sequence[str]) -> DataFrame:
-    """``keep.., fold, prediction``: each row predicted by a model that never saw its fold."""
-    out = None
+    """``keep.., fold, prediction``: each row predicted by a model that never saw its fold. ``df`` is computed once, not once a pass of each fit."""
+    df, out = cut_lineage(df), None
     for i in range(k):
         model = make().fit(df.filter(F.col(fold) != i))
         part = model.transform(df.filter(F.col(fold) == i))
@@ -349,6 +350,72 @@ def quantile_regression(train: DataFrame, df: DataFrame, inputs: Sequence[str],
     return df.mapInPandas(work, schema)
 
 
+def conformal_quantiles(train: DataFrame, calibrate: DataFrame, df: DataFrame, inputs: Sequence[str], truth: str, alpha: float, seed: int = 7) -> DataFrame:
+    """``df`` with ``lo, mid, hi``: quantile predictions, widened by what the calibration rows need.
+
+    A calibration row's score is how far its value lies outside its own band, negative
+    inside; the ``ceil((n + 1)(1 - alpha))``-th smallest score moves both ends.
+    """
+    targets = {"lo": alpha / 2, "mid": 0.5, "hi": 1 - alpha / 2}
+    kinds = dict(df.dtypes)
+    held = [c for c in df.columns if c not in inputs]
+    tagged = df.select(*inputs, F.struct(*[F.col(c) for c in held] or [F.lit(0)]).alias("_k"), F.lit(None).cast("double").alias("_t"))
+    own = calibrate.select(*inputs, F.lit(None).cast(tagged.schema["_k"].dataType).alias("_k"), F.col(truth).cast("double").alias("_t")).filter("_t is not null")
+    both = cut_lineage(quantile_regression(train, tagged.union(own), inputs, truth, targets, seed=seed))
+    score = both.filter("_t is not null").select(F.greatest(F.col("lo") - F.col("_t"), F.col("_t") - F.col("hi")).alias("s"))
+    n = score.count()
+    rank = min(n, math.ceil((n + 1) * (1 - alpha)))
+    counts = score.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    shift = prefix_sums(counts, [], "s", ["c"]).filter(F.col("run_c") >= rank).agg(F.min("s")).first()[0] or 0.0  # one number
+    out = both.filter("_k is not null").select(*inputs, *[F.col(f"_k.`{c}`").cast(kinds[c]).alias(c) for c in held], (F.col("lo") - shift).alias("lo"), "mid", (F.col("hi") + shift).alias("hi"))
+    return out.select(*df.columns, "lo", "mid", "hi")
+
+
+def random_search(df: DataFrame, fold: str, k: int, truth: str, space: Mapping[str, Sequence[object]], draws: int, make: Callable[..., Estimator], seed: int = 7) -> DataFrame:
+    """``draw, params, mae, rmse, r2``: the out-of-fold scores of ``draws`` distinct settings drawn from ``space``; all settings where there are fewer."""
+    import itertools
+    import random
+
+    names = sorted(space)
+    every = list(itertools.product(*[space[n] for n in names]))
+    chosen = random.Random(seed).sample(every, min(draws, len(every)))
+    rows = cut_lineage(df)
+    out = None
+    for i, values in enumerate(chosen):
+        p = dict(zip(names, values))
+        sc = regression_scores(out_of_fold(rows, fold, k, lambda p=p: make(**p), [truth]), truth)
+        sc = sc.select(F.lit(i).alias("draw"), F.lit(str(p)).alias("params"), "mae", "rmse", "r2")
+        out = sc if out is None else out.unionByName(sc)
+    return out
+
+
+def topic_choice(train: DataFrame, held: DataFrame, vector: str, ks: Sequence[int], seed: int = 7, rounds: int = 10) -> tuple[DataFrame, dict]:
+    """``k, perplexity`` on held-out documents, and the fitted model of each number of topics."""
+    models = {k: topics(train, vector, k, seed, rounds) for k in ks}
+    rows = [(k, float(math.exp(m.logPerplexity(held)))) for k, m in models.items()]
+    return train.sparkSession.createDataFrame(rows, "k int, perplexity double"), models
+
+
+def topic_shares(model, df: DataFrame, vector: str, label: str) -> DataFrame:
+    """``label, topic, dominant, mean_share``: how many of a label's documents a topic leads, and its mean share in them."""
+    from pyspark.ml.functions import vector_to_array
+
+    t = model.transform(df).select(label, vector_to_array("topicDistribution").alias("v"))
+    t = t.withColumn("top", (F.array_position("v", F.array_max("v")) - 1).cast("int"))
+    x = t.select(label, "top", F.posexplode("v").alias("topic", "share"))
+    return x.groupBy(label, "topic").agg(F.count_if(F.col("top") == F.col("topic")).alias("dominant"), F.avg("share").alias("mean_share"))
+
+
+def linear_attributions(model, df: DataFrame, vector: str, ident: str, background: DataFrame) -> DataFrame:
+    """``ident, feature, phi``: exact Shapley values of a linear model for independent features, ``coef * (x - mean)``; they add up to the prediction less the mean one."""
+    from pyspark.ml.functions import vector_to_array
+
+    means = background.select(F.posexplode(vector_to_array(vector)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
+    coef = df.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(model.coefficients.toArray())], "i int, c double")
+    x = df.select(ident, F.posexplode(vector_to_array(vector)).alias("i", "x")).join(coef, "i").join(means, "i")
+    return x.select(ident, F.col("i").alias("feature"), (F.col("c") * (F.col("x") - F.col("m"))).alias("phi"))
+
+
 def linear_scores(tok: DataFrame, doc: str, term: str, weights: DataFrame, intercept: float) -> DataFrame:
     """``doc, score, probability``: a bag of words through tf-idf and logistic weights ``(term, idf, coef)``, as portable arithmetic."""
     tf = tok.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
@@ -368,61 +435,88 @@ def contributions(tok: DataFrame, doc: str, term: str, weights: DataFrame, k: in
     return part.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
-def recourse(df: DataFrame, ident: str, held: str, source: str, target: str, weights: Mapping[str, Mapping[str, float]], bias: Mapping[str, float], steps: int = 10) -> DataFrame:
-    """``ident, step, added, probability``: greedily add the term with the largest gain of the target over its strongest rival.
+def recourse(
+    df: DataFrame, ident: str, held: str, source: str, target: str, weights: Mapping[str, Mapping[str, float]], bias: Mapping[str, float], steps: int = 10,
+    feasible: Mapping[str, Sequence[str]] | None = None, order: Mapping[tuple[str, str], Sequence[str]] | None = None,
+) -> DataFrame:
+    """``ident, step, added, probability, reached``: terms added until the target leads, at most ``steps``; step 0 is the start.
 
-    A step row for each addition until the target leads, at most ``steps``; step 0 is
-    the start. Row-local: the weights are a model, not data.
+    Each step takes the term with the largest gain of the target over its strongest
+    rival. ``feasible`` names the terms that may be added for a target (all, where it is
+    None). With ``order`` terms are added in the given order of ``(source, target)``
+    instead: the plain way to compare with. Rows of an unknown target come out of
+    neither. Row-local: the weights are a model, not data.
     """
     labels, terms = sorted(weights), sorted({t for w in weights.values() for t in w})
     m = np.array([[weights[c].get(t, 0.0) for t in terms] for c in labels])
     b = np.array([bias[c] for c in labels])
     at = {t: i for i, t in enumerate(terms)}
+    allowed = {c: np.array([feasible is None or t in set(feasible.get(c, ())) for t in terms]) for c in labels}
+
+    def path(have, came, to) -> Iterator[tuple]:
+        x = np.zeros(len(terms))
+        x[[at[t] for t in have if t in at]] = 1
+        j, added = labels.index(to), None
+        queue = None if order is None else iter([at[t] for t in order.get((came, to), ()) if t in at and not x[at[t]] and allowed[to][at[t]]])
+        for step in range(steps + 1):
+            z = m @ x + b
+            p = np.exp(z - z.max())
+            rival = max((i for i in range(len(labels)) if i != j), key=lambda i: z[i])
+            reached = bool(z[j] > z[rival])
+            yield step, added, float(p[j] / p.sum()), reached
+            if reached:
+                return
+            if queue is None:
+                gain = np.where((x == 0) & allowed[to], m[j] - m[rival], -math.inf)
+                best = int(gain.argmax()) if len(gain) and gain.max() > 0 else None
+            else:
+                best = next(queue, None)
+            if best is None:
+                return
+            x[best], added = 1, terms[best]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, have, to in zip(batch["k"], batch["h"], batch["t"]):
-                x = np.zeros(len(terms))
-                for t in have if have is not None else ():
-                    if t in at:
-                        x[at[t]] = 1
-                if to not in weights:
-                    continue
-                j = labels.index(to)
-                for step in range(steps + 1):
-                    z = m @ x + b
-                    p = np.exp(z - z.max())
-                    rows.append((key, step, added if step else None, float(p[j] / p.sum())))
-                    others = np.delete(np.arange(len(labels)), j)
-                    rival = others[z[others].argmax()]
-                    if z[j] > z[rival]:
-                        break
-                    gain = np.where(x == 0, m[j] - m[rival], -math.inf)
-                    best = int(gain.argmax())
-                    if not gain[best] > 0:
-                        break
-                    x[best], added = 1, terms[best]
-            yield pd.DataFrame(rows, columns=["k", "step", "added", "probability"])
-
-    src = df.select(F.col(ident).alias("k"), F.col(held).alias("h"), F.col(target).alias("t"))
+            rows = [
+                (key, *step) for key, have, came, to in zip(batch["k"], batch["h"], batch["s"], batch["t"]) if to in weights
+                for step in path(have if have is not None else (), came, to)
+            ]
+            yield pd.DataFrame(rows, columns=["k", "step", "added", "probability", "reached"])
+
+    src = df.select(F.col(ident).alias("k"), F.col(held).alias("h"), F.col(source).alias("s"), F.col(target).alias("t"))
     kind = src.schema["k"].dataType.simpleString()
-    return src.mapInPandas(work, f"k {kind}, step int, added string, probability double").withColumnRenamed("k", ident)
+    return src.mapInPandas(work, f"k {kind}, step int, added string, probability double, reached boolean").withColumnRenamed("k", ident)
+
 
+def recourse_summary(paths: DataFrame, ident: str) -> DataFrame:
+    """``n, flip_5, flip_10, median_added``: shares of rows whose target leads within 5 and 10 added terms, and the median number among those that get there."""
+    last = paths.groupBy(ident).agg(F.max("step").alias("steps"), F.bool_or("reached").alias("ok"))
+    within = lambda k: F.avg((F.col("ok") & (F.col("steps") <= k)).cast("double"))
+    return last.agg(F.count(F.lit(1)).alias("n"), within(5).alias("flip_5"), within(10).alias("flip_10"), F.percentile(F.when(F.col("ok"), F.col("steps")), 0.5).alias("median_added"))
 
-def permutation_importance(model, df: DataFrame, columns: Sequence[str], ident: str, truth: str, seed: int = 7) -> DataFrame:
-    """``column, gain``: how much the squared error of a fitted pipeline grows when a column is shuffled."""
-    from plumbline.operators.windows import stratified_shuffle
 
-    def error(d: DataFrame) -> float:
-        return model.transform(d).agg(F.avg(F.pow(F.col(truth) - F.col("prediction"), 2))).first()[0]
+def permutation_importance(model, df: DataFrame, columns: Sequence[str], ident: str, truth: str, seed: int = 7, repeats: int = 10) -> DataFrame:
+    """``column, gain, spread``: how much the squared error of a fitted pipeline grows when a column is shuffled, over ``repeats`` shuffles.
 
-    base, rows = error(df), []
-    one = df.withColumn("_s", F.pmod(F.xxhash64(ident), F.lit(64)))  # shuffled within 64 hash strata, in parallel
+    Rows are ranked once by a hash; a shuffle gives each row the value that lies a drawn
+    number of places further on, all columns of a repeat in one join.
+    """
+    from plumbline.operators.windows import ranks
+
+    placed = cut_lineage(ranks(df, [], [F.xxhash64(F.lit(seed), F.col(ident)), F.col(ident)], "_p"))
+    given = placed.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_x_{c}") for c in columns])
+    shifted = placed.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    step = 1 + F.pmod(F.xxhash64(F.lit(seed), F.col("_rep")), F.greatest(F.lit(1), F.col("all__p") - 1))
+    mixed = cut_lineage(shifted.withColumn("_q", F.pmod(F.col("_p") - 1 + step, F.col("all__p")) + 1).join(given, "_q"))
+    error = F.avg(F.pow(F.col(truth) - F.col("prediction"), 2)).alias("e")
+    parts = model.transform(placed).agg(error).select(F.lit("").alias("column"), F.lit(0).alias("_rep"), "e")
     for c in columns:
-        mixed = stratified_shuffle(one, ["_s"], ident, c, seed, "_x").drop(c, "_s").withColumnRenamed("_x", c)
-        rows.append((c, float(error(mixed) - base)))
-    return df.sparkSession.createDataFrame(rows, "column string, gain double")
+        one = model.transform(mixed.withColumn(c, F.col(f"_x_{c}"))).groupBy("_rep").agg(error)
+        parts = parts.union(one.select(F.lit(c), "_rep", "e"))
+    base = parts.filter("_rep = 0").select(F.col("e").alias("_b"))
+    return parts.filter("_rep > 0").crossJoin(F.broadcast(base)).groupBy("column").agg(  # one row
+        F.avg(F.col("e") - F.col("_b")).alias("gain"), F.stddev_samp(F.col("e") - F.col("_b")).alias("spread")
+    )
 
 
 def dense(df: DataFrame, array: str, out: str) -> DataFrame:

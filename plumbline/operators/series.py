@@ -243,6 +243,65 @@ def decompose(df: DataFrame, by: Sequence[str], t: str, value: str, season: int)
     return x.select(*by, t, value, "trend", "seasonal", (F.col(value) - F.col("trend") - F.col("seasonal")).alias("rest"))
 
 
+def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, window: int, weights: np.ndarray) -> np.ndarray:
+    """Locally weighted straight lines through the ``window`` nearest points, tricube weights times ``weights``."""
+    d = np.abs(at[:, None] - x[None, :])
+    q = min(window, len(x))
+    reach = np.sort(d, axis=1)[:, q - 1] * max(1.0, window / len(x))
+    w = np.clip(1 - (d / np.maximum(reach, 1e-12)[:, None]) ** 3, 0, None) ** 3 * weights[None, :]
+    total = np.maximum(w.sum(1), 1e-12)
+    mx, my = (w * x).sum(1) / total, (w * y).sum(1) / total
+    dx = x[None, :] - mx[:, None]
+    var = (w * dx * dx).sum(1)
+    slope = np.where(var > 1e-12, (w * dx * (y[None, :] - my[:, None])).sum(1) / np.maximum(var, 1e-12), 0.0)
+    return my + slope * (at - mx)
+
+
+def _stl(v: np.ndarray, season: int, seasonal: int, robust: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, t = len(v), np.arange(len(v), dtype=float)
+    wide = int(np.ceil(1.5 * season / (1 - 1.5 / seasonal))) | 1
+    low = season + 1 if season % 2 == 0 else season
+    trend, cycle, rho = np.zeros(n), np.zeros(n), np.ones(n)
+    mean = lambda a, k: np.convolve(a, np.ones(k) / k, "valid")
+    for _ in range(15 if robust else 1):
+        for _ in range(2 if robust else 5):
+            flat, long = v - trend, np.zeros(n + 2 * season)
+            for phase in range(season):
+                own = np.arange(phase, n, season)
+                k = np.arange(len(own), dtype=float)
+                long[phase::season][: len(own) + 2] = loess(k, flat[own], np.arange(-1, len(own) + 1, dtype=float), seasonal, rho[own])
+            smooth = mean(mean(mean(long, season), season), 3)
+            cycle = long[season : season + n] - loess(t, smooth, t, low, np.ones(n))
+            trend = loess(t, v - cycle, t, wide, rho)
+        rest = np.abs(v - trend - cycle)
+        bound = 6 * np.median(rest)
+        if not robust or bound <= 0:
+            break
+        rho = np.clip(1 - (rest / bound) ** 2, 0, None) ** 2
+    return trend, cycle, v - trend - cycle
+
+
+def stl(df: DataFrame, by: Sequence[str], t: str, value: str, season: int, seasonal: int = 7, robust: bool = True) -> DataFrame:
+    """``by.., t, trend, seasonal, rest``: seasonal and trend decomposition by LOESS, robust against outliers.
+
+    Series of fewer than two seasons, or with a gap in their values, give no rows. A
+    series is one group; series are short, and their number scales.
+    """
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        v = pdf[value].to_numpy(float)
+        out = pdf[[*by, t, value]].assign(trend=np.nan, seasonal=np.nan, rest=np.nan)
+        if len(v) < 2 * season or np.isnan(v).any():
+            return out.iloc[:0]
+        out["trend"], out["seasonal"], out["rest"] = _stl(v, season, seasonal, robust)
+        return out
+
+    names = [*by, t, value]
+    return df.select(*names).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", trend double, seasonal double, rest double")
+
+
 def strengths(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     """``by.., trend_strength, seasonal_strength`` of a :func:`decompose`."""
     ok = parts.filter("rest is not null")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.windows import prefix_sums
+from plumbline.operators.windows import prefix_sums, ranks
 from plumbline.session import cut_lineage
 
 
@@ -77,11 +77,11 @@ def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str) -
 
 def standardised_gap(df: DataFrame, stratum: str, flag: str, value: str) -> DataFrame:
     """``gap_pct``: the strata's gaps of medians between flagged and other rows, weighted by the other rows' mix."""
-    m = df.groupBy(stratum).agg(
-        F.expr(f"percentile({value}, 0.5) filter (where {flag})").alias("a"),
-        F.expr(f"percentile({value}, 0.5) filter (where not {flag})").alias("b"),
-        F.expr(f"count_if(not {flag})").alias("w"),
-    ).filter("a is not null and b is not null and b <> 0")
+    rows = df.select(stratum, F.expr(flag).cast("boolean").alias("_f"), value).filter("_f is not null")
+    mid = quantiles(rows, [stratum, "_f"], value, {"m": 0.5})
+    n = rows.groupBy(stratum).agg(F.count_if(~F.col("_f")).alias("w"))
+    m = mid.groupBy(stratum).agg(F.max(F.when(F.col("_f"), F.col("m"))).alias("a"), F.max(F.when(~F.col("_f"), F.col("m"))).alias("b"))
+    m = m.join(n, stratum).filter("a is not null and b is not null and b <> 0")
     return m.agg((F.sum((F.col("a") / F.col("b") - 1) * 100 * F.col("w")) / F.sum("w")).alias("gap_pct"))
 
 
@@ -118,18 +118,12 @@ def bands(c: Column, edges: Sequence[float], right_closed: bool) -> Column:
 
 
 def frequency_tiers(df: DataFrame, member: str, shares: Sequence[float] = (0.01, 0.05)) -> DataFrame:
-    """``member, n, tier``: 0 for the most frequent ``int(share members)`` and so on; ties by name.
-
-    Ranks within buckets of the count and a prefix sum over the few distinct counts
-    replace a sort of all members in one task.
-    """
+    """``member, n, tier``: 0 for the most frequent ``int(share members)`` and so on; ties by name."""
     n = df.filter(F.col(member).isNotNull()).groupBy(member).agg(F.count(F.lit(1)).alias("n"))
-    sizes = n.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-    above = sizes.select("n", (F.sum("c").over(Window.orderBy(F.col("n").desc())) - F.col("c")).alias("above"), F.sum("c").over(Window.partitionBy()).alias("all"))
-    r = n.join(above, "n").withColumn("r", F.col("above") + F.row_number().over(Window.partitionBy("n").orderBy(member)))
+    r = ranks(n, [], [-F.col("n"), F.col(member)], "r")
     tier = F.lit(len(shares))
     for i, s in reversed(list(enumerate(shares))):
-        tier = F.when(F.col("r") <= F.floor(F.lit(s) * F.col("all")), i).otherwise(tier)
+        tier = F.when(F.col("r") <= F.floor(F.lit(s) * F.col("all_r")), i).otherwise(tier)
     return r.select(member, "n", tier.alias("tier"))
 
 
@@ -191,6 +185,16 @@ def normalised_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(F.when(F.col("ha") + F.col("hb") == 0, 1.0).otherwise(2 * F.col("mi") / (F.col("ha") + F.col("hb"))).alias("nmi"))
 
 
+def percentile_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the share of its group's values that are at most the row's; null values have none."""
+    c = _counted(df, by, value)
+    shares = c.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col(value).alias("_v"), (F.col("run_n") / F.col("all_n")).alias(out))
+    on = F.col(value) == F.col("_v")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    return df.join(shares, on, "left").drop("_v", *[f"_b{i}" for i in range(len(by))])
+
+
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """``df`` with the average rank of ``value`` in its group; null values have none."""
     c = _counted(df, by, value)

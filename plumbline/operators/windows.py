@@ -21,22 +21,22 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[
     """
     key = F.col(order).desc() if descending else F.col(order)
     parts = cut_lineage(
-        df.repartitionByRange(shuffle_width(df.sparkSession), *by, key).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange(shuffle_width(df.sparkSession), *by, key).withColumn("_ps_part", F.spark_partition_id())
     )
-    chunk = Window.partitionBy(*by, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    sums = parts.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    chunk = Window.partitionBy(*by, "_ps_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.groupBy(*by, "_ps_part").agg(*[F.sum(c).alias(f"_ps_s_{c}") for c in columns])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # a row for each partition
-    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_ps_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_part").alias("_q"),
-        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in columns],
-        *[F.sum(f"_s_{c}").over(group).alias(f"all_{c}") for c in columns],
+        *[F.col(c).alias(f"_ps_k_{c}") for c in by], F.col("_ps_part").alias("_ps_q"),
+        *[F.coalesce(F.sum(f"_ps_s_{c}").over(before), F.lit(0)).alias(f"_ps_o_{c}") for c in columns],
+        *[F.sum(f"_ps_s_{c}").over(group).alias(f"all_{c}") for c in columns],
     )
-    on = F.col("_part") == F.col("_q")
+    on = F.col("_ps_part") == F.col("_ps_q")
     for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    runs = parts.select("*", *[F.sum(c).over(chunk).alias(f"_r_{c}") for c in columns]).join(offsets, on)
-    return runs.select(*df.columns, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"run_{c}") for c in columns], *[f"all_{c}" for c in columns])
+        on = on & F.col(c).eqNullSafe(F.col(f"_ps_k_{c}"))
+    runs = parts.select("*", *[F.sum(c).over(chunk).alias(f"_ps_r_{c}") for c in columns]).join(offsets, on)
+    return runs.select(*df.columns, *[(F.col(f"_ps_r_{c}") + F.col(f"_ps_o_{c}")).alias(f"run_{c}") for c in columns], *[f"all_{c}" for c in columns])
 
 
 def trailing_mean(by: Sequence[str], order: str, value: str, size: int) -> Column:
@@ -96,12 +96,22 @@ def partial_autocorrelation(acf: DataFrame, by: Sequence[str]) -> DataFrame:
     return acf.groupBy(*by).applyInPandas(solve, schema) if by else acf.groupBy().applyInPandas(solve, schema)
 
 
+def ranks(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """``df`` with ``out``, each row's place in its group from 1 on, and ``all_<out>``, the group's rows.
+
+    By prefix sums over range partitions: a group of any size is ranked by many tasks.
+    ``order`` must tell the rows of a group apart.
+    """
+    ordered = df.withColumns({out: F.lit(1).cast("bigint"), f"_by_{out}": F.struct(*order)})
+    r = prefix_sums(ordered, by, f"_by_{out}", [out])
+    return r.select(*df.columns, F.col(f"run_{out}").alias(out), f"all_{out}")
+
+
 def stratified_shuffle(df: DataFrame, stratum: Sequence[str], ident: str, value: str, seed: int, out: str) -> DataFrame:
     """``df`` with ``value`` permuted within each stratum, by a seeded hash of the id."""
-    here = Window.partitionBy(*stratum).orderBy(ident)
-    there = Window.partitionBy(*stratum).orderBy(F.xxhash64(F.lit(seed), F.col(ident)), ident)
-    a = df.withColumn("_p", F.row_number().over(here))
-    b = df.select(*[F.col(s).alias(f"_{s}") for s in stratum], F.col(value).alias(out), F.row_number().over(there).alias("_q"))
+    a = ranks(df, stratum, [F.col(ident)], "_p").drop("all__p")
+    keys = df.select(*[F.col(s).alias(f"_{s}") for s in stratum], F.col(ident).alias("_id"), F.col(value).alias(out))
+    b = ranks(keys, [f"_{s}" for s in stratum], [F.xxhash64(F.lit(seed), F.col("_id")), F.col("_id")], "_q").drop("all__q", "_id")
     on = F.col("_p") == F.col("_q")
     for s in stratum:
         on = on & F.col(s).eqNullSafe(F.col(f"_{s}"))
@@ -109,7 +119,7 @@ def stratified_shuffle(df: DataFrame, stratum: Sequence[str], ident: str, value:
 
 
 def hashed_sample(df: DataFrame, stratum: Sequence[str], ident: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows of each stratum, the same ones at every run: a sampling operator."""
+    """``n`` rows of each stratum, the same ones at every run: a sampling operator. Each task keeps its ``n`` best before the shuffle."""
     w = Window.partitionBy(*stratum).orderBy(F.xxhash64(F.lit(seed), *stratum, F.col(ident)), ident)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
@@ -143,8 +153,8 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
 
 def stratified_folds(df: DataFrame, stratum: str, ident: str, k: int, seed: int) -> DataFrame:
     """``df`` with ``fold``: each stratum spread evenly."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(ident)), ident)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(k)))
+    r = ranks(df, [stratum], [F.xxhash64(F.lit(seed), F.col(ident)), F.col(ident)], "_n")
+    return r.select(*df.columns, F.pmod("_n", F.lit(k)).cast("int").alias("fold"))
 
 
 def bootstrap_means(df: DataFrame, cluster: str, value: str, replicates: int, seed: int) -> DataFrame:
@@ -163,16 +173,10 @@ def bootstrap_means(df: DataFrame, cluster: str, value: str, replicates: int, se
 
 
 def subsets(spark, names: Sequence[str], size: int) -> DataFrame:
-    """``subset, name``: all subsets of ``size`` of at most 20 names, numbered by their bits."""
-    if len(names) > 20:
-        raise ValueError("at most 20 names")
-    masks = spark.range(1 << len(names)).filter(F.bit_count("id") == size)
-    members = F.array(*[F.when(F.col("id").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)])
-    return masks.select(F.col("id").alias("subset"), F.explode(F.array_compact(members)).alias("name"))
-
+    """``subset, name``: all subsets of ``size`` of at most 62 names, numbered by their bits.
 
-def combinations(spark, names: Sequence[str], size: int) -> DataFrame:
-    """The same of at most 62 names, built member by member, so that only the subsets themselves are made."""
+    Built member by member, so that only the subsets themselves are made.
+    """
     if len(names) > 62:
         raise ValueError("at most 62 names")
     if not 0 < size <= len(names):

@@ -252,7 +252,7 @@ def frequency_tiers(s, d):
 @q("percentile_rank", """SELECT o_orderkey, (SELECT count(*) FROM orders i WHERE i.o_orderpriority = o.o_orderpriority AND i.o_totalprice <= o.o_totalprice)
     / count(*) OVER (PARTITION BY o_orderpriority) AS rank FROM orders o""")
 def percentile_rank(s, d):
-    return _orders(s, d).select("o_orderkey", F.cume_dist().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice")).alias("rank"))
+    return stats.percentile_rank(_orders(s, d), ["o_orderpriority"], "o_totalprice", "rank").select("o_orderkey", "rank")
 
 
 @q("error_metrics", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import inference, learn, stats, windows
 from plumbline.plans.registry import Registry
-from plumbline.session import new_folder
+from plumbline.session import cut_lineage, new_folder
 from plumbline.sources import readers
 from plumbline.sources.tables import table
 from plumbline.streaming import events
@@ -48,18 +48,34 @@ def top_tags(s, d):
     return learn.top_tags(table(s, d, "part").select(F.split("p_name", " ").alias("tags")), "tags", 20, 10)
 
 
-@q("word_counts")
+@q("word_counts", f"""
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]*(?:[./][a-z0-9]+)*')) AS w FROM documents), n AS (SELECT doc_id, w FROM w WHERE length(w) >= 2 AND w NOT IN ({", ".join(f"'{x}'" for x in learn.STOP)}))
+    SELECT d.doc_id, count(w)::INTEGER AS words, count(DISTINCT w)::INTEGER AS distinct_words FROM documents d LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL GROUP BY 1""")
 def word_counts(s, d):
     docs = table(s, d, "documents").filter("text is not null").select("doc_id", F.lower("text").alias("text"))
-    m = learn.counts("text", "v", size=500).fit(docs)
-    return m.transform(docs).select("doc_id", F.size("tokens").alias("words"), F.expr("size(array_distinct(tokens))").alias("distinct_words"))
+    from pyspark.ml.functions import vector_to_array
 
+    c = learn.counts("text", "v", min_df=1, max_df=1e18, size=1 << 18).fit(docs).transform(docs).select("doc_id", vector_to_array("v").alias("a"))
+    return c.select("doc_id", F.aggregate("a", F.lit(0.0), lambda p, x: p + x).cast("int").alias("words"), F.size(F.filter("a", lambda x: x > 0)).alias("distinct_words"))
 
-@q("bigram_counts")
+
+@q("bigram_counts", f"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*(?:[./][a-z0-9]+)*'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(f"'{x}'" for x in learn.STOP)})) AS w FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20""")
 def bigram_counts(s, d):
     docs = table(s, d, "documents").filter("text is not null").select("doc_id", F.lower("text").alias("text"))
-    g = learn.counts("text", "v", n=2, size=500).fit(docs).transform(docs)
-    return g.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    m = learn.counts("text", "v", n=2, min_df=20, max_df=1e18, size=1 << 18).fit(docs)
+    return _summed(m, m.transform(docs), "gram")
+
+
+def _summed(model, docs, out):
+    """The totals of a fitted count vector by term."""
+    from pyspark.ml.functions import vector_to_array
+
+    sparse = docs.select(F.explode(F.filter(F.transform(vector_to_array("v"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0)).alias("e"))
+    n = sparse.groupBy(F.col("e.i").alias("i")).agg(F.sum("e.x").cast("bigint").alias("n"))
+    words = docs.sparkSession.createDataFrame(list(enumerate(model.stages[-1].vocabulary)), f"i int, {out} string")
+    return n.join(words, "i").select(out, "n")
 
 
 @q("truncated_svd")
@@ -71,14 +87,41 @@ def truncated_svd(s, d):
 @q("lda_topics")
 def lda_topics(s, d):
     docs = table(s, d, "documents").filter("text is not null").select("doc_id", F.lower("text").alias("text"))
-    v = learn.counts("text", "v", size=400).fit(docs).transform(docs)
-    return learn.topics(v, "v", 4, rounds=5).describeTopics(8).select("topic", "termIndices", "termWeights")
+    m = learn.counts("text", "v").fit(docs)
+    words = F.array(*[F.lit(w) for w in m.stages[-1].vocabulary])
+    t = learn.topics(m.transform(docs), "v", 4, rounds=5).describeTopics(8)
+    return t.select("topic", F.transform("termIndices", lambda i: F.get(words, i)).alias("terms"), "termWeights")
+
+
+def _topic_vectors(s, d):
+    docs = table(s, d, "documents").filter("text is not null").select("doc_id", "source", F.lower("text").alias("text"))
+    v = learn.counts("text", "v", max_df=0.4).fit(docs).transform(docs).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "v")
+    return windows.group_split(cut_lineage(v), "doc_id", 0.15, 3)
+
+
+@q("topic_choice")
+def topic_choice(s, d):
+    """Held-out perplexity of several numbers of topics."""
+    v = _topic_vectors(s, d)
+    return learn.topic_choice(v.filter("not held_out"), v.filter("held_out"), "v", [3, 6, 9], rounds=5)[0]
+
+
+@q("topic_shares")
+def topic_shares(s, d):
+    """Dominant topics and mean shares by source, with the number of topics of the lowest held-out perplexity."""
+    v = _topic_vectors(s, d)
+    scores, models = learn.topic_choice(v.filter("not held_out"), v.filter("held_out"), "v", [3, 6], rounds=5)
+    best = scores.orderBy("perplexity", "k").first()["k"]  # one row
+    return learn.topic_shares(models[best], v, "v", "source")
 
 
 @q("nmf_factors")
 def nmf_factors(s, d):
-    tok = table(s, d, "part").select(F.col("p_partkey").cast("int").alias("doc"), F.explode(F.split("p_name", " ")).alias("t")).withColumn("term", F.pmod(F.xxhash64("t"), F.lit(100000)).cast("int"))
-    return learn.nmf(tok.groupBy("doc", "term").agg(F.count(F.lit(1)).cast("float").alias("w")), "doc", "term", "w", 3).itemFactors
+    tok = table(s, d, "part").select(F.col("p_partkey").cast("int").alias("doc"), F.explode(F.split("p_name", " ")).alias("t"))
+    ids = windows.ranks(tok.select("t").distinct(), [], [F.col("t")], "term").select("t", F.col("term").cast("int").alias("term"))
+    tok = tok.join(ids, "t")
+    f = learn.nmf(tok.groupBy("doc", "term").agg(F.count(F.lit(1)).cast("float").alias("w")), "doc", "term", "w", 3).itemFactors
+    return f.join(ids, F.col("id") == F.col("term")).select("t", "features")
 
 
 @q("unit_clusters")
@@ -118,6 +161,44 @@ def cv_regression(s, d):
     return learn.regression_scores(p, "label", ["fold"])
 
 
+@q("lasso_regression")
+def lasso_regression(s, d):
+    from pyspark.ml import Pipeline
+
+    make = lambda: Pipeline(stages=[learn.preprocessor(["c_acctbal", "year"], ["priority", "c_mktsegment"]), R.LinearRegression(regParam=0.001, elasticNetParam=1.0, maxIter=30)])
+    return learn.regression_scores(learn.out_of_fold(_priced(s, d), "fold", 3, make, ["o_orderkey", "label"]), "label", ["fold"])
+
+
+@q("random_search")
+def random_search(s, d):
+    x = cut_lineage(_priced(s, d))
+    x = learn.preprocessor(["c_acctbal", "year"], ["priority"]).fit(x).transform(x).select("fold", "label", "features")
+    space = {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]}
+    return learn.random_search(x, "fold", 3, "label", space, 6, lambda **p: R.LinearRegression(maxIter=10, **p))
+
+
+@q("conformal_quantiles")
+def conformal_quantiles(s, d):
+    """Quantile predictions with conformal ends on held-out customers: coverage, error and width."""
+    x = windows.group_split(_priced(s, d), "o_custkey", 0.25, 8, "calibrate")
+    part = lambda held, cal: x.filter((F.col("held_out") == held) & (F.col("calibrate") == cal)).select("c_acctbal", F.col("year").cast("double").alias("year"), "label")
+    p = learn.conformal_quantiles(part(False, False), part(False, True), part(True, True).union(part(True, False)), ["c_acctbal", "year"], "label", 0.2)
+    return p.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("label").between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage"),
+        F.avg(F.abs(F.exp("mid") - F.exp("label"))).alias("mae"), F.percentile(F.exp(F.col("hi") - F.col("lo")), 0.5).alias("width_ratio"),
+    )
+
+
+@q("linear_attributions")
+def linear_attributions(s, d):
+    """The Shapley values of a linear model, averaged by size over held-out rows."""
+    x = cut_lineage(_priced(s, d))
+    v = cut_lineage(learn.preprocessor(["c_acctbal", "year"], ["priority"]).fit(x).transform(x).select("o_orderkey", "label", "held_out", "features"))
+    m = R.LinearRegression(regParam=0.01, maxIter=20).fit(v.filter("not held_out"))
+    a = learn.linear_attributions(m, v.filter("held_out"), "features", "o_orderkey", v.filter("not held_out"))
+    return a.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_size"))
+
+
 @q("forest_importance")
 def forest_importance(s, d):
     m = _forest().fit(_priced(s, d))
@@ -148,7 +229,7 @@ def group_baseline(s, d):
 @q("quantile_regression")
 def quantile_regression(s, d):
     x = _priced(s, d)
-    p = learn.quantile_regression(x.filter(~F.col("held_out")), x.filter("held_out").select("c_acctbal", "year", "label"), ["c_acctbal", "year"], "label", {"lo": 0.1, "mid": 0.5, "hi": 0.9}, fit_rows=5000)
+    p = learn.quantile_regression(x.filter(~F.col("held_out")), x.filter("held_out").select("c_acctbal", "year", "label"), ["c_acctbal", "year"], "label", {"lo": 0.1, "mid": 0.5, "hi": 0.9})
     return p.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage"))
 
 
@@ -179,10 +260,11 @@ def text_classifiers(s, d):
     docs = table(s, d, "documents").filter("text is not null and source is not null").select("doc_id", F.lower("text").alias("text"), "source")
     from pyspark.ml.feature import StringIndexer
 
-    x = learn.hashed_tfidf("text", "features", 10).fit(docs).transform(docs)
+    x = learn.hashed_tfidf("text", "features").fit(docs).transform(docs)
     x = StringIndexer(inputCol="source", outputCol="label", stringOrderType="alphabetAsc").fit(x).transform(x).withColumn("test", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
     out = None
-    for name in ("complement_nb", "logistic"):
+    x = cut_lineage(x)
+    for name in ("complement_nb", "logistic", "linear_svm", "forest"):
         p = learn.text_learners("label", "features")[name]().fit(x.filter(~F.col("test"))).transform(x.filter("test"))
         sc = stats.class_scores(stats.confusion(p, "label", "prediction")).agg(F.avg("f1").alias("macro_f1"), F.sum("support").alias("n")).withColumn("model", F.lit(name))
         out = sc if out is None else out.unionByName(sc)
@@ -231,11 +313,19 @@ def recourse_steps(s, d):
     return learn.recourse(p, "p_partkey", "have", "from", "to", SWITCH, {"A": 0.1, "B": 0.0, "C": -0.1})
 
 
+#: What may be added on the way to a label, and the plain order to compare with.
+MAY_ADD, PLAIN = {"B": ["red", "widget"], "A": ["small", "ring"], "C": ["large"]}, {("A", "B"): ["ring", "widget", "red"]}
+
+
 @q("recourse_summary")
 def recourse_summary(s, d):
-    r = recourse_steps(s, d)
-    last = r.groupBy("p_partkey").agg(F.max("step").alias("steps"), F.max_by("probability", "step").alias("p"))
-    return last.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("steps") <= 5).cast("double")).alias("within_5"), F.percentile("steps", 0.5).alias("mid"))
+    """Greedy and plain orders, with and without a limit to what a label asks for."""
+    p = table(s, d, "part").select("p_partkey", F.split("p_name", " ").alias("have"), F.lit("A").alias("from"), F.lit("B").alias("to"))
+    bias, out = {"A": 0.1, "B": 0.0, "C": -0.1}, None
+    for name, how in {"greedy": {}, "feasible": {"feasible": MAY_ADD}, "plain": {"feasible": MAY_ADD, "order": PLAIN}}.items():
+        r = learn.recourse_summary(learn.recourse(p, "p_partkey", "have", "from", "to", SWITCH, bias, **how), "p_partkey").withColumn("way", F.lit(name))
+        out = r if out is None else out.union(r)
+    return out
 
 
 @q("typical_terms", """SELECT g, t, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, t) AS r FROM (SELECT p_type AS g, w AS t, count(*) AS n FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1, 2)) WHERE r <= 3""")
@@ -262,13 +352,14 @@ def offer_check(s, d):
 
 @q("permutation_importance")
 def permutation_importance(s, d):
-    x = _priced(s, d)
+    x = cut_lineage(_priced(s, d))
     return learn.permutation_importance(_linear().fit(x), x.filter("held_out").drop("held_out"), ["priority", "year"], "o_orderkey", "label")
 
 
 @q("grid_search")
 def grid_search(s, d):
-    x = learn.preprocessor(["c_acctbal", "year"], ["priority"]).fit(_priced(s, d)).transform(_priced(s, d))
+    x = cut_lineage(_priced(s, d))
+    x = cut_lineage(learn.preprocessor(["c_acctbal", "year"], ["priority"]).fit(x).transform(x).select("fold", "label", "features"))
     out = None
     for reg in (0.0, 0.1, 1.0):
         p = learn.out_of_fold(x, "fold", 3, lambda r=reg: R.LinearRegression(regParam=r, maxIter=10), ["label"])

@@ -304,8 +304,10 @@ def share_of_total(s, d):
 
 @q("cumulative_curve", """SELECT o_orderpriority, o_totalprice, sum(cast(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS run FROM orders""")
 def cumulative_curve(s, d):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.col("o_totalprice").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    return table(s, d, "orders").select("o_orderpriority", "o_totalprice", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w).alias("run"))
+    o = table(s, d, "orders").select("o_orderpriority", "o_totalprice", F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    sums = o.groupBy("o_orderpriority", "o_totalprice").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    runs = windows.prefix_sums(sums, ["o_orderpriority"], "o_totalprice", ["v"], descending=True)
+    return runs.select("o_orderpriority", "o_totalprice", F.col("run_v").alias("run"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).drop("col")
 
 
 @q("event_index", f"""SELECT g, m, 100 * v / avg(CASE WHEN m < TIMESTAMP '1998-01-01' THEN v END) OVER (PARTITION BY g) AS idx FROM ({_MONTHLY})""")
@@ -334,7 +336,8 @@ def stratified_shuffle(s, d):
 @q("final_sort", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 ELSE 1 END, o_orderkey) AS place FROM orders")
 def final_sort(s, d):
     order = F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1)
-    return table(s, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(order, "o_orderkey")).alias("place"))
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", order.alias("first"))
+    return windows.ranks(o, ["o_orderstatus"], [F.col("first"), F.col("o_orderkey")], "place").select("o_orderkey", "place")
 
 
 @q("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12")
@@ -389,10 +392,10 @@ def subset_enumeration(s, d):
 @q("quantile_picks", """SELECT o_orderpriority, o_orderkey, pos FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) t
     JOIN (VALUES (0.2), (0.4), (0.6), (0.8)) v(pos) ON r = floor(pos * (n - 1)) + 1""")
 def quantile_picks(s, d):
-    w = Window.partitionBy("o_orderpriority")
-    r = table(s, d, "orders").select("o_orderpriority", "o_orderkey", F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    o = table(s, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    r = windows.ranks(o, ["o_orderpriority"], [F.col("o_totalprice"), F.col("o_orderkey")], "r")
     x = r.withColumn("pos", F.explode(F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])))
-    return x.filter(F.col("r") == F.floor(F.col("pos") * (F.col("n") - 1)) + 1).select("o_orderpriority", "o_orderkey", F.col("pos").cast("double").alias("pos"))
+    return x.filter(F.col("r") == F.floor(F.col("pos") * (F.col("all_r") - 1)) + 1).select("o_orderpriority", "o_orderkey", F.col("pos").cast("double").alias("pos"))
 
 
 @q("top_series", f"SELECT g, m, v FROM ({_MONTHLY}) WHERE g IN (SELECT g FROM ({_MONTHLY}) GROUP BY 1 ORDER BY avg(v) DESC, g LIMIT 2)")

@@ -45,16 +45,9 @@ def strip_markup(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(text.strip_markup(F.col("text"))).alias("digest"))
 
 
-@q("decode_entities", """SELECT collection.run_id AS run_id, count(*) AS n, sum(length(replace(raw.description, '&amp;', '&'))) AS chars FROM records_graphic_designer__visual_designer
-    WHERE raw.description IS NOT NULL AND NOT regexp_matches(raw.description, '&[a-z]*$') GROUP BY 1""")
+@q("decode_entities")
 def decode_entities(s, d):
-    r = table(s, d, "records_graphic_designer__visual_designer").select("collection.run_id", "raw.description").filter("description is not null and not description rlike '&[a-z]*$'")
-    return r.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text.decode_entities(F.col("description")))).alias("chars"))
-
-
-@q("decode_entities_all")
-def decode_entities_all(s, d):
-    """The same over every description, those that end in an unfinished entity too."""
+    """Every description, those that end in an unfinished entity too."""
     r = table(s, d, "records_graphic_designer__visual_designer").select("collection.run_id", "raw.description").filter("description is not null")
     return r.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text.decode_entities(F.col("description")))).alias("chars"))
 
@@ -273,21 +266,13 @@ def json_props(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.to_json(F.struct(F.col("event_type").alias("t"))).alias("packed"))
 
 
-@q("literal_dict", "SELECT event_id, json_array_length(replace('{\"ug\": [1, 2], \"pg\": []}'::JSON ->> 'ug', ' ', ''))::INTEGER AS ug FROM events WHERE event_type = 'error'")
+@q("literal_dict", """SELECT event_id, len(event_type)::INTEGER AS ug, CASE WHEN value > 5 THEN 1 END AS pg, event_type || chr(39) || 's' AS who FROM events""")
 def literal_dict(s, d):
-    return _literals(table(s, d, "events").filter("event_type = 'error'"))
-
-
-@q("literal_dict_all", "SELECT event_id, json_array_length(replace('{\"ug\": [1, 2], \"pg\": []}'::JSON ->> 'ug', ' ', ''))::INTEGER AS ug FROM events")
-def literal_dict_all(s, d):
-    """The same over every event."""
-    return _literals(table(s, d, "events"))
-
-
-def _literals(events):
-    raw = F.lit("{'ug': [1, 2], 'pg': None}")
-    parsed = F.from_json(F.regexp_replace(raw, "None", "null"), "ug array<int>, pg array<int>", {"allowSingleQuotes": "true"})
-    return events.select("event_id", F.size(parsed["ug"]).alias("ug"))
+    """Python dict texts, one for each event, parsed back to their parts."""
+    ug = F.array_join(F.transform(F.split("event_type", ""), lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", ")
+    raw = F.concat(F.lit("{'ug': ["), ug, F.lit("], 'pg': "), F.when(F.col("value") > 5, F.lit("True")).otherwise(F.lit("None")), F.lit(", 'who': \""), F.col("event_type"), F.lit("'s\"}"))
+    e = table(s, d, "events").select("event_id", text.python_literal(raw, "ug array<string>, pg boolean, who string").alias("x"))
+    return e.select("event_id", F.size("x.ug").alias("ug"), F.when(F.col("x.pg"), 1).alias("pg"), "x.who")
 
 
 @q("vector_products", "SELECT vec_id, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS norm2 FROM embeddings")
@@ -296,11 +281,13 @@ def vector_products(s, d):
     return table(s, d, "embeddings").select("vec_id", F.aggregate(F.zip_with(e, e, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("norm2"))
 
 
-@q("softmax", "SELECT vec_id, exp(e1 - m) / (exp(e1 - m) + exp(e2 - m)) AS p FROM (SELECT vec_id, embedding[1]::DOUBLE AS e1, embedding[2]::DOUBLE AS e2, greatest(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS m FROM embeddings)")
+@q("softmax", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT vec_id, max(x) AS m FROM e GROUP BY 1)
+    SELECT vec_id, (i - 1)::INTEGER AS i, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id) AS p FROM e JOIN m USING (vec_id)""")
 def softmax(s, d):
-    e = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
-    z = F.transform(e, lambda x: F.exp(x - F.array_max(e)))
-    return table(s, d, "embeddings").select("vec_id", (z[0] / F.aggregate(z, F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    v = table(s, d, "embeddings").select("vec_id", F.transform(e, lambda x: F.exp(x - F.array_max(e))).alias("z"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, b: a + b)
+    return v.select("vec_id", F.posexplode(F.transform("z", lambda x: x / total)).alias("i", "p"))
 
 
 @q("sequences", "SELECT i::INTEGER AS i, 10.0 * 2 ** i AS geometric FROM (SELECT unnest(range(0, 11)) AS i)")

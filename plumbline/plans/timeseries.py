@@ -106,6 +106,11 @@ def seasonal_strength(s, d):
     return series.strengths(series.decompose(_monthly(s, d), ["g"], "m", "v", 12), ["g"])
 
 
+@q("stl_strength")
+def stl_strength(s, d):
+    return series.strengths(series.stl(_monthly(s, d), ["g"], "m", "v", 12), ["g"])
+
+
 @q("moving_trend", f"""
     WITH i AS (SELECT g, m, v, count(*) OVER w AS n, sum(v) OVER (PARTITION BY g ORDER BY m ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) AS a, sum(v) OVER (PARTITION BY g ORDER BY m ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING) AS b
       FROM ({_M}) WINDOW w AS (PARTITION BY g ORDER BY m ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)) SELECT g, m, CASE WHEN n = 13 THEN (a + b) / 24 END AS trend FROM i""")
@@ -120,38 +125,13 @@ def interrupted_series(s, d):
     return series.interrupted(_monthly(s, d), ["g"], "m", "v", datetime.datetime(1998, 7, 1))
 
 
-def _nation_months(s, d, among="c_nationkey < 12"):
+def _nation_months(s, d):
     o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.filter(among).groupBy(F.col("c_nationkey").cast("string").alias("u"), F.date_trunc("month", "o_orderdate").alias("m")).agg(F.sum("o_totalprice").alias("v"))
+    return o.filter("c_nationkey is not null").groupBy(F.col("c_nationkey").cast("string").alias("u"), F.date_trunc("month", "o_orderdate").alias("m")).agg(F.sum("o_totalprice").alias("v"))
 
 
 _CHANGE = """SELECT cast(c_nationkey AS VARCHAR) AS u, avg(v) FILTER (m >= TIMESTAMP '1998-07-01') - avg(v) FILTER (m < TIMESTAMP '1998-07-01') AS change FROM
-    (SELECT c_nationkey, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 12 GROUP BY 1, 2) GROUP BY 1"""
-
-
-@q("did_effect", f"SELECT avg(change) FILTER (u IN ('0', '3', '5', '7', '11')) - avg(change) FILTER (u NOT IN ('0', '3', '5', '7', '11')) AS did FROM ({_CHANGE})")
-def did_effect(s, d):
-    c = series.changes(_nation_months(s, d), "u", "m", "v", F.lit("1998-07-01").cast("timestamp"))
-    return series.difference_in_differences(c, "u", ["0", "3", "5", "7", "11"])
-
-
-@q("did_randomisation", f"""
-    WITH c AS ({_CHANGE}), a AS (SELECT m, u FROM (SELECT unnest(range(4096)) AS m), (SELECT unnest(range(12)) AS i), c WHERE bit_count(m) = 5 AND (m >> i) & 1 = 1 AND c.u = cast(i AS VARCHAR)),
-    t AS (SELECT sum(change) AS s, count(change) AS n FROM c), k AS (SELECT m, sum(change) AS a, count(change) AS k FROM a JOIN c USING (u) GROUP BY 1)
-    SELECT m AS subset, round(a / k - (s - a) / (n - k), 6) AS did FROM k, t""")
-def did_randomisation(s, d):
-    c = series.changes(_nation_months(s, d), "u", "m", "v", F.lit("1998-07-01").cast("timestamp"))
-    r = series.randomisation(c, "u", windows.subsets(s, [str(i) for i in range(12)], 5))
-    return r.select("subset", F.round("did", 6).alias("did"))
-
-
-@q("placebo_dates", """
-    WITH x AS (SELECT c_nationkey, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 12 GROUP BY 1, 2),
-    p AS (SELECT unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1999-01-01', INTERVAL 6 MONTH)) AS e),
-    c AS (SELECT e, c_nationkey, avg(v) FILTER (m >= e) - avg(v) FILTER (m < e) AS change FROM x, p GROUP BY 1, 2)
-    SELECT e AS event, avg(change) FILTER (c_nationkey < 5) - avg(change) FILTER (c_nationkey >= 5) AS did FROM c GROUP BY 1""")
-def placebo_dates(s, d):
-    return _placebo(_nation_months(s, d))
+    (SELECT c_nationkey, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""
 
 
 def _placebo(months):
@@ -161,40 +141,36 @@ def _placebo(months):
     return c.groupBy("event").agg((F.avg(F.when(inside, F.col("change"))) - F.avg(F.when(~inside, F.col("change")))).alias("did"))
 
 
-# the same over the orders of all nations; the three above are bound by their SQL to the first twelve
-
-_ALL = "c_nationkey IS NOT NULL"
-_CHANGE_ALL = _CHANGE.replace("c_nationkey < 12", _ALL)
 _TREATED = ("0", "3", "5", "7", "11")
 
 
 def _nation_changes(s, d):
-    return series.changes(_nation_months(s, d, _ALL), "u", "m", "v", F.lit("1998-07-01").cast("timestamp"))
+    return series.changes(_nation_months(s, d), "u", "m", "v", F.lit("1998-07-01").cast("timestamp"))
 
 
-@q("did_effect_all", f"SELECT avg(change) FILTER (u IN {_TREATED}) - avg(change) FILTER (u NOT IN {_TREATED}) AS did FROM ({_CHANGE_ALL})")
-def did_effect_all(s, d):
+@q("did_effect", f"SELECT avg(change) FILTER (u IN {_TREATED}) - avg(change) FILTER (u NOT IN {_TREATED}) AS did FROM ({_CHANGE})")
+def did_effect(s, d):
     return series.difference_in_differences(_nation_changes(s, d), "u", _TREATED)
 
 
-@q("did_randomisation_all", f"""
-    WITH c AS (SELECT change AS x, row_number() OVER (ORDER BY u::INTEGER) - 1 AS i FROM ({_CHANGE_ALL}) WHERE change IS NOT NULL), t AS (SELECT sum(x) AS s, count(*) AS n FROM c),
+@q("did_randomisation", f"""
+    WITH c AS (SELECT change AS x, row_number() OVER (ORDER BY u::INTEGER) - 1 AS i FROM ({_CHANGE}) WHERE change IS NOT NULL), t AS (SELECT sum(x) AS s, count(*) AS n FROM c),
     a AS (SELECT (1::BIGINT << a.i) + (1::BIGINT << b.i) + (1::BIGINT << c.i) + (1::BIGINT << d.i) + (1::BIGINT << e.i) AS m, a.x + b.x + c.x + d.x + e.x AS a
       FROM c a JOIN c b ON a.i < b.i JOIN c ON b.i < c.i JOIN c d ON c.i < d.i JOIN c e ON d.i < e.i)
     SELECT m AS subset, round(a / 5 - (s - a) / (n - 5), 6) AS did FROM a, t""")
-def did_randomisation_all(s, d):
+def did_randomisation(s, d):
     c = cut_lineage(_nation_changes(s, d).filter("change is not null"))
     units = sorted((r["u"] for r in c.select("u").collect()), key=int)  # the nations
-    return series.randomisation(c, "u", windows.combinations(s, units, 5)).select("subset", F.round("did", 6).alias("did"))
+    return series.randomisation(c, "u", windows.subsets(s, units, 5)).select("subset", F.round("did", 6).alias("did"))
 
 
-@q("placebo_dates_all", f"""
-    WITH x AS (SELECT c_nationkey, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_ALL} GROUP BY 1, 2),
+@q("placebo_dates", f"""
+    WITH x AS (SELECT c_nationkey, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IS NOT NULL GROUP BY 1, 2),
     p AS (SELECT unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1999-01-01', INTERVAL 6 MONTH)) AS e),
     c AS (SELECT e, c_nationkey, avg(v) FILTER (m >= e) - avg(v) FILTER (m < e) AS change FROM x, p GROUP BY 1, 2)
     SELECT e AS event, avg(change) FILTER (c_nationkey < 5) - avg(change) FILTER (c_nationkey >= 5) AS did FROM c GROUP BY 1""")
-def placebo_dates_all(s, d):
-    return _placebo(_nation_months(s, d, _ALL))
+def placebo_dates(s, d):
+    return _placebo(_nation_months(s, d))
 
 
 @q("conformal_coverage")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,11 @@ COLLECTION = (
 CORRUPT = "_corrupt_record"
 
 
+def redacted(message: str) -> str:
+    """A message without the values of keys and tokens in it."""
+    return re.sub(r"(?i)\b((?:app_?id|app_?key|api_?key|key|token|secret|password)=)[^&\s\"']+", r"\1***", message)
+
+
 def _struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
 
@@ -42,7 +48,10 @@ def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def json_arrays(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """Records of files that hold one JSON array each, with ``file``, and the query and date their names end in."""
+    """Records of files that hold one JSON array each, with ``file``, and the query and date their names end in.
+
+    Files and records that can't be read come out of :func:`json_array_faults`.
+    """
     schema = _struct(RAW).add(CORRUPT, T.StringType())
     r = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", pattern).option("columnNameOfCorruptRecord", CORRUPT).json(root)
     name = F.col("_metadata.file_name")
@@ -53,6 +62,19 @@ def json_arrays(spark: SparkSession, root: str, pattern: str = "*.json") -> Data
     })
 
 
+def json_array_faults(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """``file, line, reason`` of what :func:`json_arrays` leaves out: files that don't parse (``line`` null) and elements that are no object."""
+    whole = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(root)
+    t = whole.select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
+    kind = F.schema_of_variant("v")
+    parts = F.try_variant_get("v", "$", "array<variant>")
+    none = t.filter("v is null").select("file", F.lit(None).cast("int").alias("line"), F.lit("unreadable file").alias("reason"))
+    other = t.filter("v is not null").filter(~kind.startswith("ARRAY")).select("file", F.lit(None).cast("int"), F.lit("no array"))
+    odd = t.filter("v is not null").filter(kind.startswith("ARRAY")).select("file", F.posexplode(parts).alias("line", "e"))
+    odd = odd.filter(~F.schema_of_variant("e").startswith("OBJECT")).select("file", "line", F.lit("record is not an object"))
+    return none.union(other).union(odd)
+
+
 def envelopes(spark: SparkSession, root: str, pattern: str = "records_*.jsonl") -> tuple[DataFrame, DataFrame]:
     """The good envelopes, with ``file``, and the lines that hold none as ``file, line``; blank lines are neither.
 
@@ -233,22 +255,46 @@ class _ReplayReader(DataSourceReader):
 
 
 class Retry:
-    """Calls with exponential delays: statuses in ``retryable`` are tried again, a Retry-After goes first, others fail at once."""
+    """Calls with exponential delays.
+
+    Statuses in ``retryable``, timeouts and lost connections (``OSError``), and a 200
+    whose body is no JSON are tried again, at most ``most`` calls in all; other statuses
+    fail at once. A Retry-After is the least delay; ``jitter`` gives a part of a second
+    more. What is logged has no secrets: ``redact`` rewrites messages.
+    """
 
-    def __init__(self, sleep, retryable: Sequence[int] = (429, 500, 502, 503, 504), most: int = 4, base: float = 1.0):
-        self.sleep, self.retryable, self.most, self.base = sleep, set(retryable), most, base
+    def __init__(self, sleep, retryable: Sequence[int] = (429, 500, 502, 503, 504), most: int = 4, base: float = 1.0, ceiling: float = 120.0, jitter=lambda: 0.0, redact=redacted):
+        self.sleep, self.retryable, self.most, self.base, self.ceiling = sleep, set(retryable), most, base, ceiling
+        self.jitter, self.redact = jitter, redact
         self.log: list[dict] = []
+        self.failures = self.retries = 0
+        self.stop_reason: str | None = None
 
-    def call(self, request):
-        """``request()`` gives ``(status, body, retry_after)``; the body of the first success, or None."""
+    def call(self, request, parse=lambda body: body):
+        """``request()`` gives ``(status, body, retry_after)``; the parsed body of the first success, or None."""
         for attempt in range(self.most):
-            status, body, after = request()
-            last = attempt == self.most - 1
-            again = status in self.retryable and not last
-            self.log.append({"attempt": attempt + 1, "status": status, "will_retry": again})
+            after, status, error, body = None, None, None, None
+            try:
+                status, body, after = request()
+            except OSError as e:  # timeouts and lost connections are OSErrors
+                error = f"{type(e).__name__}: {e}"
             if status == 200:
-                return body
+                try:
+                    body = parse(body)
+                except ValueError as e:
+                    error, status = f"bad body: {e}", None
+                else:
+                    if self.failures:
+                        self.log.append({"attempt": attempt + 1, "outcome": "recovered"})
+                    return body
+            self.failures += 1
+            passing = error is not None or status in self.retryable
+            again = passing and attempt < self.most - 1
+            entry = {"attempt": attempt + 1, "status": status, "will_retry": again}
+            self.log.append(entry | ({"error": self.redact(error)} if error else {}))
             if not again:
+                self.stop_reason = "retries_exhausted" if passing else f"non_retryable_http_{status}"
                 return None
-            self.sleep(after if after is not None else self.base * 2**attempt)
+            self.retries += 1
+            self.sleep(min(self.ceiling, max(after or 0.0, self.base * 2**attempt)) + self.jitter())
         return None

@@ -30,24 +30,34 @@ def first_by_id(stream: DataFrame, key: Sequence[str], ts: str, late: str = "14
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
 
 
-def running_quantile(stream: DataFrame, key: str, value: str, q: float, size: int = 256) -> DataFrame:
-    """``key, n, quantile``: after each batch the ``q`` quantile of a key's last ``size`` values, kept as state."""
+def running_quantile(stream: DataFrame, key: str, value: str, q: float, digits: int | None = None) -> DataFrame:
+    """``key, n, quantile``: after each batch the ``q`` quantile of all of a key's values so far, the pool that calibration draws on.
+
+    The state is the pool's distinct values with their counts, in order, so every value
+    counts; ``digits`` rounds values first where the distinct ones would be too many.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, [])
-        last = list(last)
+        values, counts = state.get if state.exists else ([], [])
+        pool = dict(zip(values, counts))
         for b in batches:
-            v = b[value].dropna().tolist()
-            n += len(v)
-            last = (last + v)[-size:]
-        state.update((n, last))
-        ordered = sorted(last)
-        at = min(len(ordered) - 1, int(q * len(ordered))) if ordered else None
-        yield pd.DataFrame({"key": [k[0]], "n": [n], "quantile": [ordered[at] if at is not None else None]})
+            v = b[value].dropna()
+            v = v if digits is None else v.round(digits)
+            for x, c in v.value_counts().items():
+                pool[float(x)] = pool.get(float(x), 0) + int(c)
+        ordered = sorted(pool)
+        state.update((ordered, [pool[x] for x in ordered]))
+        n, below, quantile = sum(pool.values()), 0, None
+        for x in ordered:
+            below += pool[x]
+            if below > min(n - 1, int(q * n)):
+                quantile = x
+                break
+        yield pd.DataFrame({"key": [k[0]], "n": [n], "quantile": [quantile]})
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(
-        step, f"key {kind}, n bigint, quantile double", "n bigint, last array<double>", "update", "NoTimeout"
+        step, f"key {kind}, n bigint, quantile double", "values array<double>, counts array<bigint>", "update", "NoTimeout"
     )
 
 

@@ -63,12 +63,12 @@ def test_did_queries_hold_every_nation(spark):
     from itertools import combinations
     from statistics import mean
 
-    months = timeseries._nation_months(spark, DATA, timeseries._ALL)
+    months = timeseries._nation_months(spark, DATA)
     total = spark.read.parquet(f"{DATA}/orders.parquet").agg({"o_totalprice": "sum"}).first()[0]
     assert months.agg({"v": "sum"}).first()[0] == pytest.approx(total)
     c = {int(r["u"]): r["change"] for r in timeseries._nation_changes(spark, DATA).filter("change is not null").collect()}
     assert len(c) > 12
-    got = {r["subset"]: r["did"] for r in timeseries.did_randomisation_all(spark, DATA).collect()}
+    got = {r["subset"]: r["did"] for r in timeseries.did_randomisation(spark, DATA).collect()}
     names = sorted(c)
     want = {sum(1 << names.index(u) for u in t): mean(c[u] for u in t) - mean(c[u] for u in names if u not in t) for t in combinations(names, 5)}
     assert got.keys() == want.keys()
@@ -77,5 +77,5 @@ def test_did_queries_hold_every_nation(spark):
 
 def test_every_line_and_event_is_expanded(spark):
     lines, events = (spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("lineitem", "events"))
-    assert extras.table_callable_all(spark, DATA).count() == 3 * lines
-    assert texts.literal_dict_all(spark, DATA).count() == events
+    assert extras.table_callable(spark, DATA).count() == 3 * lines
+    assert texts.literal_dict(spark, DATA).count() == events
