@@ -129,7 +129,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     swap = (F.length("s") == F.length("t")) & (F.array_sort(F.split("s", "")) == F.array_sort(F.split("t", "")))
     edits = F.when((F.col("distance") == 2) & swap, F.lit(1)).otherwise(F.col("distance"))
     near = near.withColumn("edits", edits).filter(
-        f"distance > 0 and (edits <= 1 or length(t) >= {LONG} or length(t) >= {STEM} and startswith(s, t)) and length(s) >= 3"
+        f"distance > 0 and (edits <= 1 or length(t) >= {LONG} or length(t) >= {STEM} and startswith(s, t)) and length(s) >= 3 and length(t) >= 3"
     ).select("s", "t", (1 - F.col("edits") / F.length("t")).alias("sim"))
     starts = words.select("t").distinct().mapInArrow(_keys, "k string, t string")
     short = distinct.filter("length(s) >= 2").withColumn("k", F.substring("s", 1, 3)).join(starts, "k").filter(

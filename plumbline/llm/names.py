@@ -25,6 +25,8 @@ from plumbline.sources.tables import table
 EDITS = 2
 #: A word of so many letters is taken for two that were typed without a space.
 JOINED = 11
+#: A single word of so many letters may hold two edits.
+SURE = 9
 #: An ambiguous short form means the candidate that is so many times better attested than the next.
 LEAD = 2.0
 
@@ -185,7 +187,9 @@ def link_names(names: DataFrame) -> DataFrame:
     # an edit more where each of two words has its own
     each = lambda i, j: F.levenshtein(F.col("words")[i], F.col("tw")[j], EDITS) >= 0
     spread = (F.size("words") == 2) & (F.size("tw") == 2) & (each(0, 0) & each(1, 1) | each(0, 1) & each(1, 0))
-    near = near.filter((F.col("distance") <= EDITS) | spread)
+    # in a core of three letters one edit is a typo, two are another name
+    tiny = F.least(F.length("core"), F.length("t")) <= EDITS + 1
+    near = near.filter(F.when(tiny, (F.col("distance") <= 1) & (F.length("core") > 2) & (F.length("t") > 2)).otherwise((F.col("distance") <= EDITS) | spread))
     pick = Window.partitionBy("core").orderBy("distance", F.col("tn").desc(), "t")
     typos = near.withColumn("r", F.row_number().over(pick)).filter("r = 1").select("core", "t")
 
@@ -226,6 +230,9 @@ def link_names(names: DataFrame) -> DataFrame:
     seconds = sized.select(F.col("w")[1].alias("key"), F.lit("team").alias("kind"), F.col("root").alias("t"), "tn")
     lone = parts.filter("kind in ('one', 'team')").select("name", F.col("words")[0].alias("key"), "kind")
     by_word = _clear(lone.join(firsts.union(seconds), ["key", "kind"]).select("name", "t", "tn"), "name")
+    by_word = cut_lineage(by_word)
+    by_typo = _mistyped(lone.join(by_word.select("name"), "name", "left_anti"), firsts.union(seconds), parts)
+    by_word = by_word.union(by_typo)
     full = named.groupBy("root", "initials").agg(F.sum("n").alias("n"))
     said = named.filter("alias is not null").groupBy("root", F.col("alias").alias("initials")).agg(F.sum("n").alias("n"))
     # initials given in brackets count before initials that only fit
@@ -246,6 +253,25 @@ def link_names(names: DataFrame) -> DataFrame:
     return named.select("name", F.col("root").alias("entity")).union(rest)
 
 
+def _mistyped(lone: DataFrame, keys: DataFrame, parts: DataFrame) -> DataFrame:
+    """``name, t`` of single words that no organisation has: the one whose word lies one edit away, or two in ``SURE`` letters and more.
+
+    A word that is itself attested as often as the one it resembles is no typo of it.
+    Words that resemble each other only become one under the better attested of them.
+    """
+    said = parts.filter("kind in ('one', 'team')").select(F.col("words")[0].alias("key"), "kind", "n").groupBy("key", "kind").agg(F.sum("n").alias("own"))
+    words = lone.select("key", "kind").distinct().join(said, ["key", "kind"])
+    targets = keys.select("key", "kind", F.col("t").alias("root"), "tn").union(
+        words.select("key", "kind", F.concat(F.lit("~"), "key"), F.col("own").alias("tn"))
+    )
+    near = segment_join(words.withColumn("s", F.col("key")), targets.select(F.col("key").alias("t")), EDITS)
+    fits = (F.col("distance") == 1) & (F.length("s") >= 5) | (F.col("distance") == 2) & (F.length("s") >= SURE)
+    near = near.filter("distance > 0").filter(fits).select("key", "kind", "own", F.col("t").alias("other"))
+    found = near.join(targets.withColumnRenamed("key", "other"), ["other", "kind"]).filter("tn > own or tn = own and other < key")
+    links = _clear(found.select(F.concat_ws("|", "kind", "key").alias("key"), F.col("root").alias("t"), "tn"), "key")
+    return lone.select("name", F.concat_ws("|", "kind", "key").alias("key")).join(links, "key").select("name", "t")
+
+
 def _clear(candidates: DataFrame, key: str) -> DataFrame:
     """``key, t``: the best attested candidate, where it leads clearly."""
     c = candidates.groupBy(key, "t").agg(F.max("tn").alias("tn"))

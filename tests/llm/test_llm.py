@@ -110,12 +110,20 @@ def edits(a, b):
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_segment_join_misses_no_pair(spark, k):
     rng = random.Random(k)
-    base = ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 12))) for _ in range(120)]
+    base = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(120)]
     left = spark.createDataFrame([(s,) for s in base[:60]] + [(None,), ("",)], "s string")
     right = spark.createDataFrame([(s,) for s in base[60:]] + [(None,)], "t string")
     got = {(r["s"], r["t"], r["distance"]) for r in segmentjoin.segment_join(left, right, k).collect()}
-    want = {(a, b, edits(a, b)) for a in base[:60] for b in base[60:] if len(a) > k and len(b) > k and edits(a, b) <= k}
+    want = {(a, b, edits(a, b)) for a in base[:60] for b in base[60:] if edits(a, b) <= k and edits(a, b) < max(len(a), len(b))}
     assert got == want
+    split = segmentjoin.segment_join(left, right, k, hot=2)
+    assert {(r["s"], r["t"], r["distance"]) for r in split.collect()} == want
+
+
+def test_segment_join_knows_short_strings(spark):
+    one = lambda c, *v: spark.createDataFrame([(x,) for x in v], f"{c} string")
+    got = {(r["s"], r["t"]): r["distance"] for r in segmentjoin.segment_join(one("s", "abc", "a", "xyz"), one("t", "abd", "ab", "q", "abcdef"), 3).collect()}
+    assert got == {("abc", "abd"): 1, ("abc", "ab"): 1, ("abc", "abcdef"): 3, ("a", "ab"): 1, ("a", "abd"): 2}
 
 
 # names
@@ -144,6 +152,13 @@ def test_names_of_nothing_and_odd_names(spark):
     assert names.link_names(spark.createDataFrame([(o,) for o in odd], "name string, other int".split(",")[0])).count() == len(odd)
 
 
+def test_names_of_one_word_may_be_mistyped(spark):
+    rows = ["Google"] * 9 + ["Gogle", "Ikea", "Ikae", "IBM", "IBN", "Zalkote Vohbehu", "Zalkote Vohbehu", "Zalkot", "Abc Ltd", "Abc Ltd", "Abd Ltd", "Xy Ltd", "Zy Ltd"]
+    got = {r["name"]: r["entity"] for r in names.link_names(spark.createDataFrame([(r,) for r in rows], "name string")).collect()}
+    assert got["Google"] == got["Gogle"] and got["Zalkot"] == got["Zalkote Vohbehu"] and got["Abc Ltd"] == got["Abd Ltd"]
+    assert got["IBM"] != got["IBN"] and got["Ikea"] != got["Ikae"] and got["Xy Ltd"] != got["Zy Ltd"]
+
+
 def test_abbreviated_fields():
     assert [names.field_of(x) for x in ("svcs", "soln", "tech", "s", "networks", "analytix", "stfg", "zalkote")] == ["services", "solutions", "technologies", None, "networks", "analytics", "staffing", None]
 
