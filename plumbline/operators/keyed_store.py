@@ -2,9 +2,10 @@
 
 Rows live in *sorted runs*: each batch becomes one run, hash-bucketed and sorted
 by the identifier. Upserting a batch id that the store already holds changes
-nothing. Compaction merges runs pairwise with a sort-merge join over the bucketed
-files; as both sides are bucketed and sorted alike, it neither shuffles nor sorts
-its input, and equal identifiers collapse to one row.
+nothing. Two runs of one level are merged to a run of the next with a sort-merge join
+over the bucketed files; as both sides are bucketed and sorted alike, it neither
+shuffles nor sorts its input, and equal identifiers collapse to one row. A row is
+rewritten once a level, so a store of many batches is not rewritten for a new one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from plumbline.session import read_json, register_bucketed, remove, shuffle_width, write_json
 
 ORDERED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 
 
 class KeyedStore:
@@ -41,14 +41,19 @@ class KeyedStore:
         self._state = read_json(spark, f"{self.path}/manifest.json") or {
             "n_buckets": n_buckets or shuffle_width(spark),
             "schema": None,
-            "runs": [],
+            "levels": [],
             "batches": [],
             "unkeyed": [],
             "next": 0,
         }
-        for run in self._state["runs"]:
+        for run in self.runs:
             self._register(run)
 
+    @property
+    def runs(self) -> list[str]:
+        """The runs from the oldest level to the newest."""
+        return [r for level in reversed(self._state["levels"]) for r in level]
+
     # writing
 
     def upsert(self, rows: DataFrame, key: Column, batch_id: str, prefer: Sequence[Column] = ()) -> bool:
@@ -67,37 +72,57 @@ class KeyedStore:
         run = self._write(one)
         loose = f"{self.path}/unkeyed/{run}"
         shaped.filter("k is null").select("v.row.*").write.mode("overwrite").parquet(loose)
-        self._state["runs"].append(run)
+        self._state["levels"] = self._state["levels"] or [[]]
+        self._state["levels"][0].append(run)
         self._state["batches"].append(batch_id)
         self._state["unkeyed"].append(run)
         self._save()
+        at = 0
+        while at < len(self._state["levels"]):
+            level = self._state["levels"][at]
+            if len(level) > 1:
+                if at + 1 == len(self._state["levels"]):
+                    self._state["levels"].append([])
+                self._replace(level[:2], self._write(self._merge(*level[:2]), ordered=True), at + 1)
+            at += 1
         return True
 
-    def compact(self) -> None:
-        """Merge the sorted runs pairwise until one is left."""
-        while len(runs := self._state["runs"]) > 1:
-            merged = [self._write(self._merge(a, b)) for a, b in zip(runs[::2], runs[1::2])]
-            self._state["runs"] = merged + ([runs[-1]] if len(runs) % 2 else [])
-            self._save()
-            for old in runs:
-                if old not in self._state["runs"]:
-                    self.spark.sql(f"DROP TABLE IF EXISTS {self._name(old)}")
-                    remove(self.spark, f"{self.path}/runs/{old}")
+    def compact(self, to: int = 1) -> None:
+        """Merge the newest runs until ``to`` are left."""
+        while len(runs := self.runs) > to:
+            level = next(i for i, level in enumerate(self._state["levels"]) if runs[-2] in level)
+            self._replace(runs[-2:], self._write(self._merge(*runs[-2:]), ordered=True), level)
+
+    def _replace(self, old: Sequence[str], new: str, level: int) -> None:
+        self._state["levels"] = [[r for r in runs if r not in old] for runs in self._state["levels"]]
+        self._state["levels"][level].append(new)
+        self._save()
+        for run in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+            remove(self.spark, f"{self.path}/runs/{run}")
 
     # reading
 
-    def read(self, counts: str | None = None) -> DataFrame:
-        """The surviving rows; ``counts`` names a column for the number of deliveries. Compacts first."""
-        self.compact()
-        if not self._state["runs"]:
+    def _view(self) -> DataFrame:
+        """``k, v, n`` over all runs: the newer ones are merged until two are left, and these in the reader's plan.
+
+        The oldest run, which holds most rows, is not rewritten. Runs are never brought
+        together by a union: over bucketed scans Spark 4.1 takes its rows for grouped
+        by bucket where they are not.
+        """
+        self.compact(to=2)
+        if not self.runs:
             raise ValueError("the store is empty")
+        return self._merge(*self.runs) if len(self.runs) == 2 else self.spark.table(self._name(self.runs[0]))
+
+    def read(self, counts: str | None = None) -> DataFrame:
+        """The surviving rows; ``counts`` names a column for the number of deliveries."""
         extra = [F.col("n").alias(counts)] if counts else []
-        return self.spark.table(self._name(self._state["runs"][0])).select("v.row.*", *extra)
+        return self._view().select("v.row.*", *extra)
 
     def deliveries(self) -> DataFrame:
         """``k, n``: each identifier and how often it was delivered, without touching the rows."""
-        self.compact()
-        return self.spark.table(self._name(self._state["runs"][0])).select("k", "n")
+        return self._view().select("k", "n")
 
     def unkeyed(self) -> DataFrame:
         """The rows without an identifier, all of them."""
@@ -105,12 +130,11 @@ class KeyedStore:
 
     def merge_plan(self) -> DataFrame:
         """The merge of the first two runs, for ``explain``."""
-        return self._merge(*self._state["runs"][:2])
+        return self._merge(*self.runs[:2])
 
     # inside
 
     def _merge(self, a: str, b: str) -> DataFrame:
-        self.spark.conf.set(ORDERED_SCAN, "true")
         x, y = (self.spark.table(self._name(r)).alias(s) for r, s in ((a, "a"), (b, "b")))
         return x.hint("merge").join(y, F.expr("a.k = b.k"), "full").select(
             F.coalesce("a.k", "b.k").alias("k"),
@@ -118,20 +142,23 @@ class KeyedStore:
             (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).cast("bigint").alias("n"),
         )
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame, ordered: bool = False) -> str:
         n, run = self._state["n_buckets"], f"run{self._state['next']:06d}"
         self._state["next"] += 1
         self._state["schema"] = df.schema.jsonValue()
-        before = self.spark.conf.get("spark.sql.shuffle.partitions")
         # as many shuffle partitions as buckets: the aggregate's own shuffle is then the bucketing
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        conf = {"spark.sql.shuffle.partitions": str(n), ORDERED_SCAN: str(ordered).lower()}
+        before = {k: self.spark.conf.get(k) for k in conf}
+        for k, v in conf.items():
+            self.spark.conf.set(k, v)
         try:
             (
                 df.write.format("parquet").mode("overwrite").bucketBy(n, "k").sortBy("k")
                 .option("path", f"{self.path}/runs/{run}").saveAsTable(self._name(run))
             )
         finally:
-            self.spark.conf.set("spark.sql.shuffle.partitions", before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return run
 
     def _name(self, run: str) -> str:
@@ -145,6 +172,6 @@ class KeyedStore:
 
     def drop(self) -> None:
         """Remove the store and its tables."""
-        for run in self._state["runs"]:
+        for run in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
         remove(self.spark, self.path)

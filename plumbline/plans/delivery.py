@@ -22,6 +22,7 @@ def _filled(spark: SparkSession, folder: str) -> KeyedStore:
     store = KeyedStore(spark, new_folder(spark, "deliveries"))
     for i in range(BATCHES):
         store.upsert(rows.filter(batch == i), at["adzuna_id"], f"batch{i}", [instant(at["collected_at"]), at["run_id"], at["collected_at"]])
+    store.compact()
     return store
 
 

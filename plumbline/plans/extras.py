@@ -156,11 +156,13 @@ def class_weights(s, d):
 
 @q("text_index")
 def text_index(s, d):
-    """A number from a text: ridge over hashed tf-idf, out of fold."""
-    docs = table(s, d, "documents").filter("text is not null").select("doc_id", F.lower("text").alias("text"), F.length("text").cast("double").alias("label"))
-    x = learn.hashed_tfidf("text", "features", 8).fit(docs).transform(docs).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
-    p = learn.out_of_fold(x, "fold", 2, lambda: R.LinearRegression(regParam=1.0, elasticNetParam=0.0, maxIter=10), ["doc_id", "label"])
-    return learn.regression_scores(p, "label")
+    """Seniority as the description tells it: a ridge over hashed tf-idf, out of fold by employer, against the title's own words."""
+    r = table(s, d, "records_graphic_designer__visual_designer").select(F.lower("raw.title").alias("title"), F.lower("raw.description").alias("text"), F.coalesce("raw.company.display_name", F.lit("")).alias("employer"))
+    level = F.when(F.col("title").rlike(r"\b(senior|sr|lead|head|principal)\b"), 2.0).when(F.col("title").rlike(r"\b(junior|jr|intern|trainee|assistant)\b"), 0.0).otherwise(1.0)
+    docs = r.filter("title is not null and text is not null").withColumn("label", level)
+    x = learn.hashed_tfidf("text", "features").fit(docs).transform(docs).select("features", "label", F.pmod(F.xxhash64("employer"), F.lit(3)).cast("int").alias("fold"))
+    p = learn.out_of_fold(x, "fold", 3, lambda: R.LinearRegression(regParam=1.0, elasticNetParam=0.0, maxIter=10), ["label"])
+    return p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("index"))
 
 
 # stability of an association

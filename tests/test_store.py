@@ -38,11 +38,43 @@ def test_result_does_not_depend_on_batching(spark):
 
 
 def test_merge_of_runs_neither_shuffles_nor_sorts(spark):
+    from plumbline.operators.keyed_store import ORDERED_SCAN
+
     s = store(spark, n_buckets=2)
-    for b in "ab":
+    for b in "abc":
         s.upsert(rows(spark, [("1", 1, b, []), ("2", 1, b, [])]), F.col("id"), b)
-    plan = s.merge_plan()._jdf.queryExecution().executedPlan().toString()
+    assert len(s.runs) == 2
+    assert spark.conf.get(ORDERED_SCAN) == "false", "options are put back"
+    spark.conf.set(ORDERED_SCAN, "true")
+    try:
+        plan = s.merge_plan()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(ORDERED_SCAN, "false")
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    view = s.read("times")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in view and "Exchange" not in view, "runs are brought together bucket by bucket"
+
+
+def test_a_batch_rewrites_its_level_only(spark):
+    s = store(spark, n_buckets=2)
+    for i in range(7):
+        s.upsert(rows(spark, [(str(j), i, f"v{i}", []) for j in range(i, i + 3)]), F.col("id"), str(i), [F.col("at")])
+        assert len(s.runs) == bin(i + 1).count("1")
+    oldest = s.runs[0]
+    s.upsert(rows(spark, []), F.col("id"), "x")
+    rows_out = s.read("n").collect()
+    got = {r["id"]: (r["k"], r["n"]) for r in rows_out}
+    assert len(rows_out) == 9 and got == {str(j): (f"v{min(j, 6)}", min(j, 6) - max(0, j - 2) + 1) for j in range(9)}
+    assert len(s.runs) == 1 and s.runs[0] != oldest
+    s.upsert(rows(spark, [("0", 9, "new", [])]), F.col("id"), "y", [F.col("at")])
+    top = s.runs[0]
+    s.upsert(rows(spark, [("1", 9, "new", [])]), F.col("id"), "z", [F.col("at")])
+    assert s.runs[0] == top, "the old rows stay where they are"
+    again = KeyedStore(spark, s.path)
+    out = again.read().collect()
+    assert len(out) == 9 and {r["id"]: r["k"] for r in out}["0"] == "new"
+    again.compact()
+    assert len(again.runs) == 1 and again.deliveries().agg(F.sum("n")).first()[0] == 23
 
 
 def test_empty_batches_and_empty_store(spark):
