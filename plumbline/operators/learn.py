@@ -141,6 +141,31 @@ def communities(edges: DataFrame, a: str, b: str, weight: str, rounds: int = 20,
     return {n: names[c] for n, c in part.items()}
 
 
+def spring_layout(edges: DataFrame, a: str, b: str, weight: str, rounds: int = 60, seed: int = 7, limit: int = 50_000) -> DataFrame:
+    """``name, x, y`` in the unit square: linked names attract, all repel, ever shorter steps. For a vocabulary's graph, whose size is checked."""
+    rows = edges.select(a, b, F.col(weight).cast("double")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError("more edges than a vocabulary's graph has; raise the support")
+    names = sorted({x for r in rows for x in r[:2]})
+    at = {n: i for i, n in enumerate(names)}
+    i, j, w = (np.array([f(r) for r in rows]) for f in (lambda r: at[r[0]], lambda r: at[r[1]], lambda r: r[2])) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    p = np.random.default_rng(seed).uniform(0, 1, (len(names), 2))
+    ideal = 1 / math.sqrt(max(1, len(names)))
+    for k in range(rounds):
+        force = np.zeros_like(p)
+        for lo in range(0, len(names), 500):  # a block of the pair matrix at a time
+            d = p[lo : lo + 500, None] - p[None]
+            force[lo : lo + 500] += (d * (ideal**2 / np.maximum((d**2).sum(-1), 1e-9))[..., None]).sum(1)
+        d = p[i] - p[j]
+        pull = d * (np.linalg.norm(d, axis=1) * w / ideal)[:, None]
+        np.add.at(force, i, -pull)
+        np.add.at(force, j, pull)
+        size = np.maximum(np.linalg.norm(force, axis=1, keepdims=True), 1e-12)
+        p += force / size * np.minimum(size, 0.1 * (1 - k / rounds))
+    p = (p - p.min(0)) / np.maximum(np.ptp(p, axis=0), 1e-12) if len(p) else p
+    return edges.sparkSession.createDataFrame([(n, float(x), float(y)) for n, (x, y) in zip(names, p)], "name string, x double, y double")
+
+
 def centroids(df: DataFrame, label: str, array: str) -> DataFrame:
     """``label, centroid``: the unit-length mean of each class's array column."""
     m = df.select(label, F.posexplode(array).alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("x"))
@@ -397,11 +422,11 @@ def topic_choice(train: DataFrame, held: DataFrame, vector: str, ks: Sequence[in
 
 
 def topic_shares(model, df: DataFrame, vector: str, label: str) -> DataFrame:
-    """``label, topic, dominant, mean_share``: how many of a label's documents a topic leads, and its mean share in them."""
+    """``label, topic, dominant, mean_share``: how many of a label's documents a topic leads, and its mean share in them. Documents without a known word have no topics and don't count."""
     from pyspark.ml.functions import vector_to_array
 
     t = model.transform(df).select(label, vector_to_array("topicDistribution").alias("v"))
-    t = t.withColumn("top", (F.array_position("v", F.array_max("v")) - 1).cast("int"))
+    t = t.filter("exists(v, x -> x > 0)").withColumn("top", (F.array_position("v", F.array_max("v")) - 1).cast("int"))
     x = t.select(label, "top", F.posexplode("v").alias("topic", "share"))
     return x.groupBy(label, "topic").agg(F.count_if(F.col("top") == F.col("topic")).alias("dominant"), F.avg("share").alias("mean_share"))
 

@@ -105,55 +105,104 @@ def mann_kendall(df: DataFrame, by: Sequence[str], t: str, value: str, alpha: fl
     return df.groupBy(*by).applyInPandas(test, schema)
 
 
+def minimise(f, start: Sequence[float], step: float = 0.2, rounds: int = 120) -> np.ndarray:
+    """Where ``f`` is smallest near ``start``, by a simplex that reflects, stretches and shrinks."""
+    points = [np.array(start, float)] + [np.array(start, float) + step * e for e in np.eye(len(start))]
+    worth = [f(p) for p in points]
+    for _ in range(rounds):
+        by = np.argsort(worth)
+        points, worth = [points[i] for i in by], [worth[i] for i in by]
+        if worth[-1] - worth[0] <= 1e-10 * (abs(worth[0]) + 1e-10) and np.ptp(points, axis=0).max() < 1e-6:
+            break
+        mid = np.mean(points[:-1], axis=0)
+        tries = {r: mid + r * (mid - points[-1]) for r in (1.0, 2.0, -0.5)}
+        far = f(tries[1.0])
+        if far < worth[0] and (farther := f(tries[2.0])) < far:
+            points[-1], worth[-1] = tries[2.0], farther
+        elif far < worth[-2]:
+            points[-1], worth[-1] = tries[1.0], far
+        elif (near := f(tries[-0.5])) < worth[-1]:
+            points[-1], worth[-1] = tries[-0.5], near
+        else:
+            points = [points[0]] + [(p + points[0]) / 2 for p in points[1:]]
+            worth = [worth[0]] + [f(p) for p in points[1:]]
+    return points[int(np.argmin(worth))]
+
+
+def _within(x: float, low: float = 1e-4, high: float = 1 - 1e-4) -> float:
+    return min(high, max(low, x))
+
+
 def _ses(v: np.ndarray) -> float:
-    best, level = math.inf, v[-1]
-    for a in np.linspace(0.05, 0.95, 19):
+    """The last level of simple exponential smoothing; its weight has the least squared one-step error."""
+
+    def run(a: float) -> tuple[float, float]:
         x, err = v[0], 0.0
         for y in v[1:]:
             err += (y - x) ** 2
             x += a * (y - x)
-        if err < best:
-            best, level = err, x
-    return float(level)
+        return err, x
+
+    low, high, ratio = 1e-4, 1 - 1e-4, (math.sqrt(5) - 1) / 2
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = run(a)[0], run(b)[0]
+    while high - low > 1e-5:  # golden section
+        if fa <= fb:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = run(a)[0]
+        else:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = run(b)[0]
+    return float(run((low + high) / 2)[1])
 
 
 def _holt_winters(v: np.ndarray, h: int, season: int) -> np.ndarray:
+    """Additive trend and season; the three weights have the least squared one-step error."""
     if len(v) < 2 * season:
         return np.full(h, v[-1])
-    best, out = math.inf, None
     base = v[: 2 * season].reshape(2, season)
-    for a in (0.1, 0.3, 0.6):
-        for b in (0.01, 0.1):
-            for g in (0.05, 0.2):
-                level, slope = base[0].mean(), (base[1].mean() - base[0].mean()) / season
-                s, err = list(base[0] - base[0].mean()), 0.0
-                for i, y in enumerate(v):
-                    err += (y - level - slope - s[i % season]) ** 2
-                    old = level
-                    level = a * (y - s[i % season]) + (1 - a) * (level + slope)
-                    slope = b * (level - old) + (1 - b) * slope
-                    s[i % season] = g * (y - level) + (1 - g) * s[i % season]
-                if err < best:
-                    best = err
-                    out = np.array([level + (k + 1) * slope + s[(len(v) + k) % season] for k in range(h)])
-    return out
+    start = base[0].mean(), (base[1].mean() - base[0].mean()) / season, list(base.mean(axis=0) - base.mean(axis=1).mean())
+
+    def run(w) -> tuple[float, np.ndarray]:
+        a, b, g = (_within(x) for x in w)
+        (level, slope, s), err = (start[0], start[1], list(start[2])), 0.0
+        for i, y in enumerate(v.tolist()):
+            k = i % season
+            err += (y - level - slope - s[k]) ** 2
+            old = level
+            level = a * (y - s[k]) + (1 - a) * (level + slope)
+            slope = b * (level - old) + (1 - b) * slope
+            s[k] = g * (y - level) + (1 - g) * s[k]
+        return err, np.array([level + (k + 1) * slope + s[(len(v) + k) % season] for k in range(h)])
+
+    return run(minimise(lambda w: run(w)[0], (0.3, 0.05, 0.1), rounds=60))[1]
+
+
+def arma(d: np.ndarray) -> tuple[float, float, float]:
+    """``phi, theta`` of an ARMA(1,1) by conditional least squares, and the last shock."""
+    d = [float(x) for x in d]
+
+    def run(w) -> tuple[float, float]:
+        phi, theta = (_within(x, -0.99, 0.99) for x in w)
+        e = err = 0.0
+        for i in range(1, len(d)):
+            e = d[i] - phi * d[i - 1] - theta * e
+            err += e * e
+        return err, e
+
+    first = min(((p, t) for p in (-0.5, 0.0, 0.5) for t in (-0.5, 0.0, 0.5)), key=lambda w: run(w)[0])
+    best = minimise(lambda w: run(w)[0], first, rounds=80)
+    return _within(best[0], -0.99, 0.99), _within(best[1], -0.99, 0.99), run(best)[1]
 
 
 def _arima111(v: np.ndarray, h: int) -> np.ndarray:
-    """ARIMA(1,1,1) by conditional least squares on a grid."""
+    """ARIMA(1,1,1)."""
     d = np.diff(v)
     if len(d) < 4:
         return np.full(h, v[-1])
-    best, pick = math.inf, (0.0, 0.0, 0.0)
-    for phi in np.linspace(-0.9, 0.9, 13):
-        for theta in np.linspace(-0.9, 0.9, 13):
-            e = err = 0.0
-            for i in range(1, len(d)):
-                e = d[i] - phi * d[i - 1] - theta * e
-                err += e * e
-            if err < best:
-                best, pick = err, (phi, theta, e)
-    phi, theta, e = pick
+    phi, theta, e = arma(d)
     step, level, out = phi * d[-1] + theta * e, v[-1], []
     for _ in range(h):
         level += step

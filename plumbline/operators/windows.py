@@ -129,26 +129,46 @@ def group_split(df: DataFrame, group: str, share: float, seed: int, out: str = "
     return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(10_000)) < int(share * 10_000))
 
 
+def fold_plan(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """``(size, start, folds)``: groups of ``size`` from rank ``start`` on go to ``folds`` in turn.
+
+    ``sizes`` has each size of group with its number of groups. The largest groups come
+    first and always go to the emptiest folds; groups of one size are dealt out at once,
+    so the work follows the number of different sizes.
+    """
+    load, plan = [0] * k, []
+    for size, left in sorted(sizes, reverse=True):
+        start = 0
+        while left:
+            order = sorted(range(k), key=lambda j: (load[j], j))
+            low = [j for j in order if load[j] < load[order[0]] + size]
+            above = [load[j] for j in order if j not in low]
+            rounds = max(1, (min(above) - load[low[-1]]) // size) if above else left
+            rounds = min(rounds, left // len(low))
+            if not rounds:
+                low, rounds = low[:left], 1
+            plan.append((size, start, low))
+            for j in low:
+                load[j] += rounds * size
+            start += rounds * len(low)
+            left -= rounds * len(low)
+    return plan
+
+
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """``group, fold``: folds of nearly equal size that split no group.
+    """``group, fold``: folds of nearly equal size that split no group, the largest groups placed first.
 
-    Large groups are placed greedily on the driver, the largest first into the
-    smallest fold; groups under a ten-thousandth of a fold are spread by hash, so what
-    reaches the driver stays bounded.
+    What reaches the driver is the number of groups of each size: a table of ``n`` rows
+    has fewer than ``sqrt(2 n)`` different sizes.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    least = total / (k * 10_000)
-    load, rows = [0] * k, []
-    for r in sizes.filter(F.col("n") > least).orderBy(F.col("n").desc(), group).collect():  # at most 10,000 k rows
-        i = min(range(k), key=lambda j: (load[j], j))
-        load[i] += r["n"]
-        rows.append((r[group], i))
-    kind = dict(df.dtypes)[group]
-    placed = df.sparkSession.createDataFrame(rows, f"_placed {kind}, fold int")
-    return sizes.join(placed, F.col(group).eqNullSafe(F.col("_placed")), "left").select(
-        group, F.coalesce("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int")).alias("fold")
-    )
+    plan = fold_plan([(r["n"], r["c"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()], k)
+    steps = df.sparkSession.createDataFrame(plan, "n bigint, start bigint, folds array<int>")
+    steps = steps.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("start", "folds"))).alias("steps"))  # a few for each size
+    placed = ranks(sizes, ["n"], [F.col(group)], "r").join(steps, "n")
+    mine = F.element_at(F.filter("steps", lambda x: x["start"] < F.col("r")), -1)
+    placed = placed.withColumn("m", mine)
+    return placed.select(group, F.expr("m.folds[cast((r - 1 - m.start) % size(m.folds) as int)]").alias("fold"))
 
 
 def stratified_folds(df: DataFrame, stratum: str, ident: str, k: int, seed: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from plumbline.operators import inference, learn, quality, stats, windows
 from plumbline.plans.models import _linear, _priced
 from plumbline.plans.registry import Registry
-from plumbline.session import new_folder
+from plumbline.session import cut_lineage, new_folder
 from plumbline.sources import readers
 from plumbline.sources.tables import table
 
@@ -125,6 +125,33 @@ def saved_model(s, d):
     return learn.regression_scores(PipelineModel.load(path).transform(x.filter("held_out")), "label")
 
 
+@q("saved_bands")
+def saved_bands(s, d):
+    """Bands of the outcome scored by saved classifiers: without and with the order's priority."""
+    from pyspark.ml import classification as C
+    from pyspark.ml.functions import vector_to_array
+
+    x = cut_lineage(_priced(s, d))
+    cuts = stats.quantiles(x, [], "label", {"a": 1 / 3, "b": 2 / 3}).select("a", "b").first()  # two numbers
+    x = x.withColumn("band", (F.col("label") > cuts["a"]).cast("int") + (F.col("label") > cuts["b"]).cast("int"))
+    out = None
+    for name, cats in {"plain": ["c_mktsegment"], "priority": ["c_mktsegment", "priority"]}.items():
+        path = new_folder(s, "bands")
+        Pipeline(stages=[learn.preprocessor(["c_acctbal", "year"], cats), C.LogisticRegression(labelCol="band", maxIter=15)]).fit(x.filter("not held_out")).write().save(path)
+        p = PipelineModel.load(path).transform(x.filter("held_out"))
+        p = p.select(F.lit(name).alias("model"), "o_orderkey", "band", F.col("prediction").cast("int").alias("guess"), vector_to_array("probability").alias("p"))
+        out = p if out is None else out.union(p)
+    return out
+
+
+@q("curve_lookup")
+def curve_lookup(s, d):
+    """Each order with the what-if curve's value at its year, read from the finished grid."""
+    grid = cut_lineage(what_if_grid(s, d)).select("year", F.col("prediction").alias("usual"))
+    o = table(s, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.log("o_totalprice").alias("label"))
+    return o.join(grid, "year", "left").select("o_orderkey", "year", "usual", (F.col("label") - F.col("usual")).alias("above"))
+
+
 @q("what_if_grid")
 def what_if_grid(s, d):
     """A model over a grid of one input, other inputs at their typical values."""

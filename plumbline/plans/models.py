@@ -138,6 +138,15 @@ def term_communities(s, d):
     return s.createDataFrame(sorted(parts.items()), "term string, community int")
 
 
+@q("term_layout")
+def term_layout(s, d):
+    """Where the terms of the co-occurrence graph are drawn."""
+    from plumbline.plans.aggregates import _hits
+
+    edges = stats.cooccurrence(_hits(s, d), "doc_id", "term", 5).select("a", "b", F.log1p("lift").alias("w"))
+    return learn.spring_layout(edges, "a", "b", "w")
+
+
 @q("centroid_similarity", """
     WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM e GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(c * c)) AS n FROM c GROUP BY 1)
     SELECT e.vec_id, sum(e.x * c.c) / any_value(n.n) / sqrt(sum(e.x * e.x)) AS sim FROM e JOIN c ON c.label = e.label AND c.i = e.i JOIN n ON n.label = e.label GROUP BY 1""")
@@ -328,6 +337,16 @@ def recourse_summary(s, d):
     return out
 
 
+@q("recourse_curve")
+def recourse_curve(s, d):
+    """The mean probability of the target after each added term; rows that got there keep their last."""
+    r = recourse_steps(s, d)
+    last = r.groupBy("p_partkey").agg(F.max("step").alias("last"), F.max_by("probability", "step").alias("end"))
+    x = r.join(last, "p_partkey").select("p_partkey", "last", "end", "step", "probability")
+    kept = last.select("p_partkey", F.explode(F.filter(F.sequence(F.lit(0), F.lit(10)), lambda i: i > F.col("last"))).alias("step"), F.col("end").alias("probability"))
+    return x.select("step", "probability").union(kept.select("step", "probability")).groupBy("step").agg(F.avg("probability").alias("probability"), F.count(F.lit(1)).alias("n"))
+
+
 @q("typical_terms", """SELECT g, t, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, t) AS r FROM (SELECT p_type AS g, w AS t, count(*) AS n FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1, 2)) WHERE r <= 3""")
 def typical_terms(s, d):
     n = table(s, d, "part").select(F.col("p_type").alias("g"), F.explode(F.split("p_name", " ")).alias("t")).groupBy("g", "t").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import json
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -27,6 +30,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -42,7 +46,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_plumbline_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline_package.zip"
+    folder = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "plumbline_package.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
@@ -64,7 +70,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_folder is None:
-        _local_folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_folder = "file://" + folder
     return _local_folder
 
 
@@ -136,6 +144,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished stages: Spark deletes their shuffle files, broadcasts and checkpoints when the driver collects its garbage, which a small driver may do late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

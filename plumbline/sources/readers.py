@@ -298,3 +298,65 @@ class Retry:
             self.retries += 1
             self.sleep(min(self.ceiling, max(after or 0.0, self.base * 2**attempt)) + self.jitter())
         return None
+
+
+class RateLimiter:
+    """At least ``interval`` seconds between calls, by the given clock."""
+
+    def __init__(self, interval: float, clock, sleep):
+        self.interval, self.clock, self.sleep = interval, clock, sleep
+        self._last: float | None = None
+
+    def wait(self) -> None:
+        if self._last is not None and (left := self._last + self.interval - self.clock()) > 0:
+            self.sleep(left)
+        self._last = self.clock()
+
+
+def anchor_batches(names: Sequence[str], anchor: str, size: int = 4) -> list[list[str]]:
+    """The names in batches of ``size``, each with the anchor that makes batches comparable; the anchor itself is in all."""
+    rest = [n for n in dict.fromkeys(names) if n != anchor]
+    return [[anchor, *rest[i : i + size]] for i in range(0, max(1, len(rest)), size)]
+
+
+def relabel(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """``df`` with columns renamed from topic ids to labels; two columns of one label are an error."""
+    new = [labels.get(c, c) for c in df.columns]
+    if len(set(new)) < len(new):
+        raise ValueError("two columns have one label")
+    return df.toDF(*new)
+
+
+class Run:
+    """A run's own folder: made once, pages are appended, nothing is ever overwritten."""
+
+    def __init__(self, spark: SparkSession, root: str, run_id: str):
+        self.spark, self.path = spark, f"{root.rstrip('/')}/{run_id}"
+        jvm = spark._jvm
+        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        if self._fs.exists(self._at("")):
+            raise FileExistsError(self.path)
+        self._fs.mkdirs(self._at(""))
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def append(self, page: int, lines: Sequence[str]) -> None:
+        """One page's envelopes as a JSON-lines file; a page that is there already is an error."""
+        stream = self._fs.create(self._at(f"records_page{page:05d}.jsonl"), False)
+        try:
+            stream.write("".join(line + "\n" for line in lines).encode())
+        finally:
+            stream.close()
+
+
+def write_page(path: str, template: str, payload: Mapping[str, object], grid: str, points: int) -> None:
+    """A static page: ``template`` with ``{{data}}`` replaced by the payload as JSON; every row of ``payload[grid]`` has ``points`` values."""
+    for name, row in dict(payload[grid]).items():
+        if len(row) != points:
+            raise ValueError(f"{grid}.{name} has {len(row)} values, not {points}")
+    body = json.dumps(payload, sort_keys=True, default=str).replace("</", "<\\/")
+    tmp = f"{path}.new"
+    with open(tmp, "w", encoding="utf-8") as f:
+        f.write(template.replace("{{data}}", body))
+    os.replace(tmp, path)

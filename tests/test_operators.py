@@ -91,6 +91,23 @@ def test_group_folds_split_no_group(spark):
     assert windows.group_folds(df.filter("false"), "g", 3).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_fold_plans_are_as_even_as_placing_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    sizes = {int(n): int(c) for n, c in zip(rng.integers(1, 200, 12), rng.integers(1, 60, 12))}
+    load, one = [0] * 4, [0] * 4
+    for n, c in sorted(sizes.items(), reverse=True):
+        for _ in range(c):
+            one[one.index(min(one))] += n
+    plan = windows.fold_plan(list(sizes.items()), 4)
+    for n, c in sizes.items():
+        steps = sorted((start, folds) for size, start, folds in plan if size == n)
+        for r in range(c):
+            start, folds = [x for x in steps if x[0] <= r][-1]
+            load[folds[(r - start) % len(folds)]] += n
+    assert sum(load) == sum(one) and sorted(load) == sorted(one)
+
+
 def test_shuffle_keeps_strata(spark):
     df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(30)] + [(99, None, 1.0)], "id int, s int, v double")
     out = windows.stratified_shuffle(df, ["s"], "id", "v", 1, "w").collect()
@@ -424,3 +441,72 @@ def test_open_entities_are_decoded_like_all_others(spark, tmp_path):
             n, chars = want.get(f"run{i % 2}", (0, 0))
             want[f"run{i % 2}"] = (n + 1, chars + len(re.sub(r"https?://\S+", " ", html.unescape(t))))
     assert {r["run_id"]: (r["n"], r["chars"]) for r in texts.decode_entities(spark, str(tmp_path)).collect()} == want
+
+
+def test_runs_are_never_overwritten(spark, tmp_path):
+    run = readers.Run(spark, str(tmp_path), "run1")
+    run.append(1, ['{"collection": {"adzuna_id": "1"}, "raw": {"id": "1"}}', ""])
+    run.append(2, ['{"collection": {"adzuna_id": "2"}, "raw": {"id": "2"}}'])
+    with pytest.raises(Exception):
+        run.append(2, ["x"])
+    with pytest.raises(FileExistsError):
+        readers.Run(spark, str(tmp_path), "run1")
+    good, bad = readers.envelopes(spark, str(tmp_path))
+    assert sorted(r["collection"]["adzuna_id"] for r in good.collect()) == ["1", "2"] and bad.count() == 0
+
+
+def test_pages_limits_and_batches(spark, tmp_path):
+    now, slept = [0.0], []
+
+    def sleep(x):
+        slept.append(x)
+        now[0] += x
+
+    limit = readers.RateLimiter(2.6, lambda: now[0], sleep)
+    limit.wait()
+    now[0] += 1
+    limit.wait()
+    now[0] += 5
+    limit.wait()
+    assert slept == [1.6]
+    assert readers.anchor_batches(list("abcdefa"), "c") == [["c", "a", "b", "d", "e"], ["c", "f"]] and readers.anchor_batches([], "z") == [["z"]]
+    assert readers.relabel(spark.range(1).toDF("/m/1"), {"/m/1": "Excel"}).columns == ["Excel"]
+    path = str(tmp_path / "page.html")
+    readers.write_page(path, "<script>{{data}}</script>", {"grid": {"a": [1, 2]}, "note": "</script>"}, "grid", 2)
+    assert open(path).read() == '<script>{"grid": {"a": [1, 2]}, "note": "<\\/script>"}</script>'
+    with pytest.raises(ValueError):
+        readers.write_page(path, "", {"grid": {"a": [1]}}, "grid", 2)
+
+
+def test_future_rows_are_left_out(spark):
+    from plumbline.streaming import events
+
+    df = spark.sql("SELECT timestamp'2026-01-02 00:00:00' AS ts, timestamp'2026-01-01 10:00:00' AS clock, 1 AS id UNION ALL SELECT timestamp'2026-01-02 00:00:01', timestamp'2026-01-01 10:00:00', 2 UNION ALL SELECT null, timestamp'2026-01-01 10:00:00', 3")
+    assert [r["id"] for r in events.without_future(df, "ts", "clock").collect()] == [1]
+
+
+def test_layout_draws_linked_names_together(spark):
+    edges = spark.createDataFrame([(a, b, 1.0) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w", 0.01)], "a string, b string, w double")
+    at = {r["name"]: np.array([r["x"], r["y"]]) for r in learn.spring_layout(edges, "a", "b", "w").collect()}
+    near = np.mean([np.linalg.norm(at[a] - at[b]) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]])
+    far = np.mean([np.linalg.norm(at[a] - at[b]) for a in "abc" for b in "xyz"])
+    assert far > 1.5 * near
+    assert learn.spring_layout(edges.filter("false"), "a", "b", "w").count() == 0
+
+
+def test_forecasts_find_the_parameters_of_simulated_series():
+    rng = np.random.default_rng(6)
+    e, d = rng.normal(size=1501), [0.0]
+    for i in range(1, 1501):
+        d.append(0.6 * d[-1] + e[i] + 0.3 * e[i - 1])
+    phi, theta, _ = series.arma(np.array(d))
+    assert abs(phi - 0.6) < 0.08 and abs(theta - 0.3) < 0.08
+    t = np.arange(72)
+    v = 50 + 0.5 * t + 8 * np.sin(2 * np.pi * t / 12)
+    got = series._holt_winters(v[:60], 12, 12)
+    assert np.abs(got - v[60:]).max() < 2.5
+    level = np.cumsum(rng.normal(size=300)) + 100
+    assert abs(series._ses(level) - level[-1]) < 1.5
+    flat = 100 + rng.normal(size=300)
+    assert abs(series._ses(flat) - 100) < 0.5
+    assert np.allclose(series.minimise(lambda x: (x[0] - 1) ** 2 + 3 * (x[1] + 2) ** 2, (0, 0)), [1, -2], atol=1e-4)
