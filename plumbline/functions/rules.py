@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import norm_title
 
 
-#: Rules that one projection may hold; a longer list is an error, none are left out.
-MOST = 2_000
+#: Letters of a phrase by which texts look it up.
+KEY = 4
 
 
 @dataclass(frozen=True)
@@ -96,6 +96,20 @@ def classify(df: DataFrame, text: str, rules: Sequence[Rule]) -> DataFrame:
     return out.withColumn("tier", tier).drop("_hit")
 
 
+def contained(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """Each row of ``texts`` with each row of ``phrases`` whose phrase stands in its text, as an equi-join for any number of phrases.
+
+    A phrase is looked up by its first ``KEY`` letters, a shorter one by all of it; a
+    text by all its pieces of these lengths. Null and empty texts and phrases meet
+    nothing. The two frames have no column in common.
+    """
+    size = F.least(F.lit(KEY), F.length(phrase))
+    keyed = phrases.filter(F.col(phrase) != "").withColumn("_key", F.substring(F.col(phrase), F.lit(1), size))
+    pieces = f"flatten(transform(sequence(1, {KEY}), k -> transform(sequence(1, greatest(length(`{text}`) - k + 1, 1)), i -> substring(`{text}`, i, k))))"
+    looked = texts.filter(F.col(text) != "").withColumn("_key", F.explode(F.array_distinct(F.expr(pieces))))
+    return looked.join(keyed, "_key").filter(F.contains(F.col(text), F.col(phrase))).drop("_key")
+
+
 def scope(df: DataFrame, label: str, scopes: DataFrame, out: str = "scope") -> DataFrame:
     """``df`` with the scope of its label from a small table ``(label, scope)``, ``unknown`` where it has none."""
     s = scopes.select(F.col("label").alias("_l"), F.col("scope").alias(out))

@@ -168,14 +168,9 @@ def title_rules(s, d):
 
 @q("theta_rule_join", f"""SELECT t.title, r.ref_id FROM (SELECT DISTINCT raw.title AS title FROM records_graphic_designer__visual_designer) t JOIN title_reference r ON contains({_NORM.format('t.title')}, {_NORM.format('r.ref_title')})""")
 def theta_rule_join(s, d):
-    # the rules become literal patterns, so the join is a projection without pairs
-    ref = table(s, d, "title_reference").select("ref_id", text.norm_text(F.col("ref_title")).alias("n"))
-    if ref.count() > rules.MOST:
-        raise ValueError("more rules than one projection holds")
-    refs = ref.collect()  # a fixed list
-    t = table(s, d, "records_graphic_designer__visual_designer").select("raw.title").distinct().withColumn("n", text.norm_text(F.col("title")))
-    hits = F.array_compact(F.array(*[F.when(F.contains(F.col("n"), F.lit(r["n"])), F.lit(r["ref_id"])) for r in refs]))
-    return t.filter("title is not null").select("title", F.explode(hits).alias("ref_id"))
+    ref = table(s, d, "title_reference").select("ref_id", text.norm_text(F.col("ref_title")).alias("phrase"))
+    t = table(s, d, "records_graphic_designer__visual_designer").select("raw.title").filter("title is not null").distinct().withColumn("n", text.norm_text(F.col("title")))
+    return rules.contained(t, "n", ref, "phrase").select("title", "ref_id")
 
 
 @q("scope_join", """SELECT e.role, coalesce(q.domain, 'unknown') AS scope, count(*) AS n FROM employer_cap_exclusions e LEFT JOIN (SELECT query_role, min(domain) AS domain FROM queries GROUP BY 1) q ON q.query_role = e.role GROUP BY 1, 2""")

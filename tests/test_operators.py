@@ -510,3 +510,13 @@ def test_forecasts_find_the_parameters_of_simulated_series():
     flat = 100 + rng.normal(size=300)
     assert abs(series._ses(flat) - 100) < 0.5
     assert np.allclose(series.minimise(lambda x: (x[0] - 1) ** 2 + 3 * (x[1] + 2) ** 2, (0, 0)), [1, -2], atol=1e-4)
+
+
+def test_phrases_meet_the_texts_that_hold_them(spark):
+    import random
+
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(rng.randrange(n)))
+    texts, phrases = [word(14) for _ in range(80)] + [None, ""], [word(8) for _ in range(40)] + [None, ""]
+    got = rules.contained(spark.createDataFrame(enumerate(texts), "i int, t string"), "t", spark.createDataFrame(enumerate(phrases), "j int, p string"), "p")
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(phrases) if t and p and p in t)
