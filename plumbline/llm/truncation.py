@@ -29,7 +29,7 @@ PILE, PILE_LEAST, BEFORE = 6.0, 4, 10
 #: Share of an ellipsis' uses above which its last words are a house phrase, if several sources
 #: have it or its texts differ in length by more than cut ones would.
 HOUSE, SPREAD = 0.04, 0.15
-#: Share of terminated sentences below which an opening needs no terminator; weight of all sources against one.
+#: Share of terminated sentences below which an opening needs no terminator; weight of all sources against one, and of all openings against one.
 LOOSE, PRIOR = 0.5, 5.0
 #: Share of an opening's endings below which an ending is not one of its usual ones.
 USUAL = 0.12
@@ -206,7 +206,9 @@ def cut_texts(df: DataFrame, row: Column, source: Column, text: Column) -> DataF
     heads = cut_lineage(parsed.filter("chars is null").groupBy("source", "head").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("ended"), F.col("n")).otherwise(0)).alias("t")
     ))
-    everywhere = heads.groupBy("head").agg((F.sum("t") / F.sum("n")).alias("rate"))
+    # an opening that is hardly known counts as one of all openings, not as one that is never terminated
+    share = heads.agg(F.sum("t") / F.sum("n")).first()[0] or 0.0  # one number
+    everywhere = heads.groupBy("head").agg(((F.sum("t") + PRIOR * F.lit(share)) / (F.sum("n") + PRIOR)).alias("rate"))
     loose = heads.join(everywhere, "head").select(
         "source", "head", ((F.col("t") + PRIOR * F.col("rate")) / (F.col("n") + PRIOR) < LOOSE).alias("loose")
     )
