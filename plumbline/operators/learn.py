@@ -46,6 +46,30 @@ def counts(text: str, out: str, min_df: float = 5, max_df: float = 0.6, size: in
     return Pipeline(stages=[*stages, X.CountVectorizer(inputCol=col, outputCol=out, minDF=min_df, maxDF=max_df, vocabSize=size, binary=binary)])
 
 
+def ngram_totals(df: DataFrame, doc: str, text: str, out: str, n: int = 2, min_df: int = 1, pattern: str = r"[a-z][a-z0-9]*(?:[./][a-z0-9]+)*", stop: Sequence[str] = STOP) -> DataFrame:
+    """``out, n``: how often each ``n``-gram of :func:`tokens` stands in all lower-case texts, of those in ``min_df`` documents at least.
+
+    Counts are added up map-side from the texts themselves; no vocabulary reaches the driver and none is cut.
+    """
+    words = df.select(doc, F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.isin(*stop)).alias("w"))
+    size = F.greatest(F.size("w") - (n - 1), F.lit(0))
+    grams = F.slice("w", 1, size)
+    for i in range(1, n):
+        grams = F.zip_with(grams, F.slice("w", i + 1, size), lambda a, b: F.concat_ws(" ", a, b))
+    if df.filter(F.col(doc).isNotNull()).groupBy(doc).count().filter("count > 1").isEmpty():
+        # a row is a document, so the first of equal neighbours in a sorted row counts it
+        rows = words.select(doc, F.sort_array(grams).alias("s"))
+        before = F.concat(F.array(F.lit(None).cast("string")), "s")
+        marked = F.arrays_zip(F.col("s").alias("gram"), F.slice(before, 1, F.size("s")).alias("before"))
+        each = rows.select(doc, F.inline(marked)).toDF(doc, out, "before")
+        new = F.col(doc).isNotNull() & ~F.col(out).eqNullSafe(F.col("before"))
+        totals = each.groupBy(out).agg(F.count(F.lit(1)).alias("n"), F.sum(new.cast("bigint")).alias("docs"))
+    else:
+        each = words.select(doc, F.explode(grams).alias(out)).groupBy(out, doc).agg(F.count(F.lit(1)).alias("n"))
+        totals = each.groupBy(out).agg(F.sum("n").alias("n"), F.count(doc).alias("docs"))
+    return totals.filter(F.col("docs") >= min_df).select(out, "n")
+
+
 def hashed_tfidf(text: str, out: str, bits: int = 12) -> Pipeline:
     """Text to unit-length tf-idf over hashed words: no vocabulary travels to the driver."""
     return Pipeline(stages=[

@@ -64,18 +64,7 @@ def word_counts(s, d):
     g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20""")
 def bigram_counts(s, d):
     docs = table(s, d, "documents").filter("text is not null").select("doc_id", F.lower("text").alias("text"))
-    m = learn.counts("text", "v", n=2, min_df=20, max_df=1e18, size=1 << 18).fit(docs)
-    return _summed(m, m.transform(docs), "gram")
-
-
-def _summed(model, docs, out):
-    """The totals of a fitted count vector by term."""
-    from pyspark.ml.functions import vector_to_array
-
-    sparse = docs.select(F.explode(F.filter(F.transform(vector_to_array("v"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0)).alias("e"))
-    n = sparse.groupBy(F.col("e.i").alias("i")).agg(F.sum("e.x").cast("bigint").alias("n"))
-    words = docs.sparkSession.createDataFrame(list(enumerate(model.stages[-1].vocabulary)), f"i int, {out} string")
-    return n.join(words, "i").select(out, "n")
+    return learn.ngram_totals(docs, "doc_id", "text", "gram", min_df=20)
 
 
 @q("truncated_svd")
